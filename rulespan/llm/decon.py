@@ -116,8 +116,8 @@ def report(docs: DataFrame, items: DataFrame) -> DataFrame:
 
 def clean(docs: DataFrame, items: DataFrame) -> DataFrame:
     """docs without contaminated rows, same columns."""
-    found = decontaminate(docs.select("doc_id", "text"), items).where("n_hit > 0").select(F.col("doc_id").alias("_id"), F.col("dig").alias("_dig"))
-    return docs.join(found, docs["doc_id"].eqNullSafe(F.col("_id")) & (F.xxhash64(docs["text"]) == F.col("_dig")), "left_anti")
+    found = decontaminate(docs.select("doc_id", "text"), items).where("n_hit > 0").select(F.col("doc_id").alias("__rs_id"), F.col("dig").alias("__rs_dig"))
+    return docs.join(found, docs["doc_id"].eqNullSafe(F.col("__rs_id")) & (F.xxhash64(docs["text"]) == F.col("__rs_dig")), "left_anti")
 
 
 _W = r"list_filter(regexp_split_to_array(translate({t}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '')"

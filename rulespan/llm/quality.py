@@ -76,6 +76,18 @@ def verdict(policy: str = "v1", failed: str = "failed") -> Column:
     return F.col(failed).bitwiseAND(F.lit(mask(POLICIES[policy])).cast("bigint")) == 0
 
 
+def keep(docs: DataFrame, policy: str = "v1", text_col: str = "text") -> DataFrame:
+    """docs, same columns, without rows that the policy rejects; no shuffle."""
+    m = "__rulespan_quality"
+    measured = docs.withColumn(m, F.expr(_measures(f"coalesce(`{text_col}`, '')")))
+    flat = {"n_words": "w.n_words", "n_repeat_words": "w.n_repeat_words", "n_lines": "l.n_lines", "n_dup_lines": "l.n_dup_lines", "word_chars": "word_chars", "n_symbols": "n_symbols"}
+    good = F.lit(True)
+    for rule in POLICIES[policy]:
+        condition = " ".join(f"{m}.{flat[x]}" if x in flat else x for x in RULES[rule].split())
+        good = good & ~F.expr(condition)
+    return measured.where(good).drop(m)
+
+
 def ablation(led: DataFrame, policy: str = "v1") -> DataFrame:
     """For each rule of the policy: rows failing it, and rows that only it rejects. One small aggregate."""
     m = mask(POLICIES[policy])

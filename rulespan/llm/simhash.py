@@ -197,17 +197,17 @@ def keep_one(docs: DataFrame, ws: Workspace) -> DataFrame:
     the choice is made on those alone, and texts are joined to the chosen ids once.
     """
     content = F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns])
-    slim = ws.write(fingerprints(docs.select("doc_id", content.alias("_row"), "text"), ["doc_id", "_row"]), "marked")
+    slim = ws.write(fingerprints(docs.select("doc_id", content.alias("row"), "text"), ["doc_id", "row"]), "marked")
     classes = _classes(slim, ws)
-    # Candidates are few a component: the least id by a plain aggregate, which combines map-side.
-    best = slim.join(classes, "fp").groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("void"), F.col("doc_id").alias("id"), F.col("_row").alias("row"))).alias("b"))
-    best = best.select(F.col("b.id").alias("_id"), F.col("b.row").alias("_row"))
-    kept = docs.withColumn("_row_hash", content).join(best, docs["doc_id"].eqNullSafe(F.col("_id")) & (F.col("_row_hash") == F.col("_row")), "left_semi")
-    # Wholly equal rows share id and hash: one of them stays.
-    twins = slim.groupBy("doc_id", "_row").agg(F.count("*").alias("n")).where("n > 1").select(F.col("doc_id").alias("_i"), F.col("_row").alias("_r"))
+    # The least id of each component, by an aggregate that combines map-side.
+    first = slim.join(classes, "fp").groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("void"), F.col("doc_id").alias("id"), F.col("row").alias("row"))).alias("b"))
+    chosen = ws.write(first.select(F.col("b.id").alias("__rs_id"), F.col("b.row").alias("__rs_row")), "chosen")
+    same = docs["doc_id"].eqNullSafe(F.col("__rs_id")) & (F.col("__rs_hash") == F.col("__rs_row"))
+    kept = docs.withColumn("__rs_hash", content).join(chosen, same, "left_semi")
+    # Wholly equal rows share id and hash; of those one stays.
+    twins = slim.groupBy("doc_id", "row").agg(F.count("*").alias("n")).where("n > 1").select(F.col("doc_id").alias("__rs_id"), F.col("row").alias("__rs_row"))
     twins = ws.write(twins, "twins")
-    if twins.isEmpty():
-        return kept.drop("_row_hash")
-    is_twin = kept["doc_id"].eqNullSafe(F.col("_i")) & (F.col("_row_hash") == F.col("_r"))
-    alone = kept.join(twins, is_twin, "left_anti")
-    return alone.union(kept.join(twins, is_twin, "left_semi").dropDuplicates(["doc_id", "_row_hash"])).drop("_row_hash")
+    if not twins.isEmpty():
+        same = F.col("doc_id").eqNullSafe(F.col("__rs_id")) & (F.col("__rs_hash") == F.col("__rs_row"))
+        kept = kept.join(twins, same, "left_anti").union(kept.join(twins, same, "left_semi").dropDuplicates(["doc_id", "__rs_hash"]))
+    return kept.drop("__rs_hash")
