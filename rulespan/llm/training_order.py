@@ -80,8 +80,10 @@ def _encoding(name: str):
 
 def encode(text: str | None, tokenizer: str = TOKENIZER, end: int = END) -> np.ndarray:
     """The whole text's 16-bit ids and the end id."""
-    ids = _encoding(tokenizer).encode_ordinary(text) if text else []
-    return np.array([*ids, end], "<u2")
+    ids = _encoding(tokenizer).encode_to_numpy(text, disallowed_special=()) if text else ()
+    out = np.empty(len(ids) + 1, "<u2")
+    out[:-1], out[-1] = ids, end
+    return out
 
 
 def records(texts: Iterator[str | None], tokenizer: str, end: int, length: int) -> Iterator[bytes]:
