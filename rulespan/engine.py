@@ -16,15 +16,16 @@ from dataclasses import dataclass, replace
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .catalog import Graph, Index
+from .catalog import Graph, Stored
 from .errors import RuleError
 from .evaluation import Evaluation
 from .functions import register_function  # noqa: F401
 from .plans.analysis import check_clauses, check_rule, stratify
-from .plans.ast import AddRule, Atom, ConditionalDelete, Const, Delete, DropName, Insert, Meta, Query, Rule, Schema, Statement, TypeAlias, Update, Var
+from .plans.ast import AddRule, Atom, ConditionalDelete, Delete, DropName, Insert, Query, Rule, Schema, Statement, TypeAlias, Update
 from .plans.compiler import term
-from .plans.parser import parse_program, parse_query, parse_statement, split_statements
+from .plans.parser import parse_query, parse_statement, split_statements
 from .plans.relation import Relation, union
+from .sources.scratch import Scratch
 
 
 @dataclass(frozen=True)
@@ -59,8 +60,8 @@ class Session:
     def evaluation(self, baseline: bool = False) -> Evaluation:
         """baseline: without what this session added."""
         if baseline:
-            return Evaluation(self.engine.spark, list(self.graph.rules), self.graph.relation, self.engine.bound_recursion)
-        return Evaluation(self.engine.spark, self.graph.rules + [r for r in self.rules if r not in self.graph.rules], self.facts, self.engine.bound_recursion)
+            return Evaluation(self.engine.spark, list(self.graph.rules), self.graph.relation, self.engine.bound_recursion, self.graph.indexes)
+        return Evaluation(self.engine.spark, self.graph.rules + [r for r in self.rules if r not in self.graph.rules], self.facts, self.engine.bound_recursion, self.graph.indexes)
 
     def query(self, text: str | Query) -> DataFrame:
         return self.evaluation().query(parse_query(text) if isinstance(text, str) else text)
@@ -170,15 +171,11 @@ class Session:
         for a in s.inserts:
             have = after.get(a.rel) or g.relation(a.rel)
             after[a.rel] = union([have, rows(a)], a.rel) if have is not None else rows(a)
-        from .sources.scratch import Scratch
-
         scratch, written = Scratch(self.engine.spark), {}
         for rel, r in after.items():  # every result is written before any relation changes
             path = scratch.write(r.df)
             written[rel] = replace(r, df=scratch.read(r.df.schema, path))
         for rel, r in written.items():
-            from .catalog import Stored
-
             g.stored[rel] = Stored(replace(r, is_set=True))
             g.versions[rel] += 1
             self.engine.notify("rows", g.name, rel)

@@ -12,7 +12,7 @@ from .errors import RuleError
 from .operators.fixpoint import fixpoint
 from .plans.analysis import bound_variables, check_clauses, is_recursive, needed, stratify
 from .plans.ast import Atom, Compare, Literal, Query, Rule, Var, variables
-from .plans.compiler import BodyCompiler, compile_rule, term
+from .plans.compiler import NEAREST, BodyCompiler, compile_rule, term
 from .plans.relation import Relation, union
 from .plans.rewrite import bind, with_variables
 
@@ -22,8 +22,8 @@ Facts = Callable[[str], Relation | None]
 class Evaluation:
     """One consistent reading of stored rows and rules; derived relations are worked out once."""
 
-    def __init__(self, spark: SparkSession, rules: list[Rule], facts: Facts, bound_recursion: bool = True, knn=None):
-        self.spark, self.rules, self.facts, self.bound_recursion, self.knn = spark, rules, facts, bound_recursion, knn
+    def __init__(self, spark: SparkSession, rules: list[Rule], facts: Facts, bound_recursion: bool = True, indexes=None):
+        self.spark, self.rules, self.facts, self.bound_recursion, self.indexes = spark, rules, facts, bound_recursion, indexes or {}
         self.heads = {r.head.rel for r in rules}
         self.done: dict[str, Relation | None] = {}
         self.extra: dict[str, Relation] = {}
@@ -31,8 +31,23 @@ class Evaluation:
         self.part = {h: part for part in stratify(rules) for h in part}
 
     def resolve(self, a: Atom) -> Relation | None:
+        if a.rel == NEAREST:
+            return self.indexed(a.args[0])
         return self.relation(a.rel)
 
+    def indexed(self, name) -> Relation:
+        """(id, vector) of an index; names[2] is its metric. The id is the first other column."""
+        index = self.indexes.get(getattr(name, "value", None))
+        if index is None:
+            raise RuleError(f"no index {name}")
+        rel = self.relation(index.relation)
+        if rel is None or index.column not in rel.names:
+            raise RuleError(f"index {name}: {index.relation} has no column {index.column}")
+        at = rel.names.index(index.column)
+        key = next((i for i in range(rel.width) if i != at), at)
+        df = rel.df.select(F.col(f"c{key}").alias("c0"), F.col(f"c{at}").alias("c1"))
+        return Relation(df, (rel.names[key], rel.names[at], index.metric), (rel.kinds[key], "vec"), (False, False), rel.is_set)
+
     def stored(self, rel: str) -> Relation | None:
         return self.extra.get(rel) or self.facts(rel)
 
@@ -72,7 +87,7 @@ class Evaluation:
             return goal
         bound, more = found
         # Types of constants must fit: a constant of another kind would widen the base rows.
-        sub = Evaluation(self.spark, [r for r in needed([goal.rel], self.rules) if r.head.rel != goal.rel] + more, self.facts, False, self.knn)
+        sub = Evaluation(self.spark, [r for r in needed([goal.rel], self.rules) if r.head.rel != goal.rel] + more, self.facts, False, self.indexes)
         sub.done |= {k: v for k, v in self.done.items() if k not in (goal.rel,)}
         if stored is not None:
             sub.extra[f"{goal.rel}__stored"] = stored
@@ -100,14 +115,13 @@ class Evaluation:
                 if v not in known:
                     known.add(v)
                     shown.append((v, Var(v)))
-        rel = self.relation(goal.rel) if goal.rel not in self.heads or goal.rel in self.done else None
         # Constants compared with goal variables bind recursion as well.
         constants = {c.left.name: c.right for c in body if isinstance(c, Compare) and c.op == "=" and isinstance(c.left, Var) and hasattr(c.right, "value")}
         probe = replace(goal, args=tuple(constants.get(a.name, a) if isinstance(a, Var) else a for a in goal.args))
         bound = self._bound(probe, body) if goal.rel not in self.done else probe
         if bound.rel != goal.rel:
             goal = replace(goal, rel=bound.rel)
-        rel = self.relation(goal.rel)
+        rel = self.relation(goal.rel) if goal.rel != NEAREST else None
         frame = self.frame((goal, *body))
         names, out, used = [], [], set()
         for i, (name, t) in enumerate(shown):

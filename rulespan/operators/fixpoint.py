@@ -22,6 +22,7 @@ from ..plans.ast import Agg, Atom, Rule
 from ..plans.compiler import compile_rule
 from ..plans.relation import Relation, as_kinds, columns, unify, union
 from ..sources.scratch import Scratch
+from .local_fixpoint import small_fixpoint
 
 
 class Known:
@@ -92,6 +93,10 @@ def fixpoint(spark: SparkSession, part: list[str], rules: list[Rule], outside: C
                     changed = True
         if not changed:
             break
+    if not any(best.values()):
+        found = small_fixpoint(spark, part, recursive, outside, start)
+        if found is not None:
+            return found
     known = {h: Known(scratch, start[h]) for h in start}
     for h in start:
         df = start[h].df

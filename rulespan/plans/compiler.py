@@ -11,18 +11,19 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..errors import RuleError
 from ..functions.mathematics import arithmetic
 from ..functions.registry import Typed, call
-from ..operators import aggregates
+from ..operators import aggregates, knn
 from .ast import RANKING, Agg, Arith, Atom, Call, Compare, Const, Literal, Rule, Term, Var, Wild, variables
 from .relation import Relation, as_kinds, empty
 
 Resolve = Callable[[Atom], Relation | None]
 TOLERANCE = 1e-10
+NEAREST = "hnsw_nearest"
 
 
 @dataclass
@@ -120,9 +121,25 @@ class BodyCompiler:
     def __init__(self, spark: SparkSession, resolve: Resolve, keep_wild: bool):
         self.spark, self.resolve, self.keep_wild = spark, resolve, keep_wild
 
-    def atom(self, a: Atom, frame: Frame) -> Frame:
+    def nearest(self, a: Atom, frame: Frame) -> Frame:
+        """hnsw_nearest(index, vector, k, Id, Distance[, ef]): exact, for a constant vector or each bound one."""
+        if not 5 <= len(a.args) <= 6 or not isinstance(a.args[2], Const):
+            raise RuleError(f"use {NEAREST}(index, vector, k, Id, Distance)")
+        rel, query, k = self.resolve(a), a.args[1], int(a.args[2].value)
+        metric, kinds = rel.names[2], (rel.kinds[0], "double")
+        if isinstance(query, Const):
+            df = knn.nearest(rel.df, "c0", "c1", list(query.value), k, metric=metric).toDF("c0", "c1")
+            return self.atom(Atom(a.rel, a.args[3:5]), frame, Relation(df, rel.names[:2], kinds, (False, False), True))
+        each = frame.df.select(F.col(frame.columns[query.name]).alias("q")).distinct()
+        far = rel.df.crossJoin(each).select("q", "c0", knn.distance(metric, F.col("q"), F.col("c1")).alias("d"))
+        best = far.withColumn("n", F.row_number().over(Window.partitionBy("q").orderBy("d", "c0"))).where(F.col("n") <= k).select(F.col("q").alias("c0"), F.col("c0").alias("c1"), F.col("d").alias("c2"))
+        return self.atom(Atom(a.rel, (query, *a.args[3:5])), frame, Relation(best, ("q", "id", "d"), ("vec", *kinds), (False,) * 3, True))
+
+    def atom(self, a: Atom, frame: Frame, rel: Relation | None = None) -> Frame:
         """The atom alone: constants and repeated variables filter, wildcards go (or stay, nameless)."""
-        rel = self.resolve(a) or empty(self.spark, len(a.args))
+        if rel is None and a.rel == NEAREST:
+            return self.nearest(a, frame)
+        rel = rel or self.resolve(a) or empty(self.spark, len(a.args))
         if rel.width != len(a.args):
             raise RuleError(f"{a.rel} has {rel.width} columns, not {len(a.args)}")
         out = Frame(fresh=frame.fresh)
@@ -202,6 +219,10 @@ class BodyCompiler:
                     todo.remove(c)
                     again = True
 
+    @staticmethod
+    def ready(a: Atom, frame: Frame) -> bool:
+        return a.rel != NEAREST or len(a.args) < 2 or isinstance(a.args[1], Const) or getattr(a.args[1], "name", None) in frame.columns
+
     def compile(self, body: tuple[Literal, ...]) -> Frame:
         positive = [x for x in body if isinstance(x, Atom) and not x.negated]
         negative = [x for x in body if isinstance(x, Atom) and x.negated]
@@ -209,16 +230,17 @@ class BodyCompiler:
         frame = Frame()
         if not positive:
             frame.df = self.spark.range(1).select(F.lit(1).alias(frame.new()))
-        self.used_later = {}
         while positive:
             at = 0
             if frame.columns:
                 if frame.df is not None:
                     self.settle(frame, todo)
-                at = next((i for i, a in enumerate(positive) if set(variables(a)) & set(frame.columns)), 0)
+                at = next((i for i, a in enumerate(positive) if set(variables(a)) & set(frame.columns) and self.ready(a, frame)), -1)
+            if at < 0 or not frame.columns:
+                at = next((i for i, a in enumerate(positive) if self.ready(a, frame)), -1)
+            if at < 0:
+                raise RuleError(f"{positive[0]}: nothing binds its vector")
             a = positive.pop(at)
-            if a.rel == "hnsw_nearest":
-                raise RuleError("hnsw_nearest needs an index; see operators.knn")
             other = self.atom(a, frame)
             if frame.df is None:
                 frame = other

@@ -47,7 +47,7 @@ def from_frame(df: DataFrame, non_null: bool = False, is_set: bool = False) -> R
         if name == "timestamp":
             c = F.unix_millis(c)
         elif name == "timestamp_ntz":
-            c = F.unix_millis(F.to_timestamp_ltz(c))
+            c = F.timestamp_diff("MILLISECOND", F.lit("1970-01-01").cast("timestamp_ntz"), c)  # no session time zone
         elif name == "date":
             c = F.unix_millis(c.cast("timestamp"))
         out.append(c.cast(SPARK[kind]).alias(f"c{i}"))
