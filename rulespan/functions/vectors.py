@@ -47,7 +47,7 @@ def cosine_distance(a: Column, b: Column, of_zero: float) -> Column:
     """1 - cosine, kept in [0, 2]; of_zero where a vector has no length."""
     scale = F.sqrt(squares(a)) * F.sqrt(squares(b))
     cos = F.greatest(F.lit(-1.0), F.least(F.lit(1.0), products(a, b) / F.when(scale > 0, scale)))
-    return same(a, b, F.coalesce(1 - cos, F.lit(of_zero)), FAR)
+    return same(a, b, F.when(scale > 0, 1 - cos).otherwise(F.lit(of_zero)), FAR)
 
 
 takes("vec vec", "double", "euclidean")(euclidean)

@@ -259,9 +259,9 @@ class BodyCompiler:
     def without(self, frame: Frame, a: Atom) -> Frame:
         other = BodyCompiler(self.spark, self.resolve, False).atom(Atom(a.rel, a.args), frame)
         shared = [v for v in other.columns if v in frame.columns]
-        if len(shared) < len(other.columns) or not shared:
+        if len(shared) < len(other.columns):
             raise RuleError(f"{a} needs shared variables only")
-        on = None
+        on = None if shared else F.lit(True)  # without variables: nothing may match at all
         for v in shared:
             pair = equal(frame.typed(v), other.typed(v), v in frame.non_null and v in other.non_null)
             on = pair if on is None else on & pair
