@@ -141,8 +141,10 @@ def _scored(made: DataFrame, views: list[np.ndarray], columns: list[str]) -> Dat
     return made.select(*columns, "content", "page").mapInArrow(run, ", ".join(f"{c} {kinds[c]}" for c in columns) + ", content_odds double, page_odds double")
 
 
-def _lists(rows) -> tuple[list[np.ndarray], list[np.ndarray]]:
-    return [np.array(r.content, np.int64) for r in rows], [np.array(r.page, np.int64) for r in rows]
+def _arrays(column: pa.ChunkedArray) -> list[np.ndarray]:
+    lists = column.combine_chunks()
+    flat, ends = lists.flatten().to_numpy(zero_copy_only=False), np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False))
+    return np.split(flat, ends[:-1]) if len(ends) else []
 
 
 def score(docs: DataFrame, labels: DataFrame, ws: Workspace, rounds: int = ROUNDS, growth: int = GROWTH, sample: int = SAMPLE, threshold: float = 0.5) -> DataFrame:
@@ -150,26 +152,27 @@ def score(docs: DataFrame, labels: DataFrame, ws: Workspace, rounds: int = ROUND
     made = ws.write(features(docs), "features")
     known = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(((F.min("quality") > 0) & (F.max(F.coalesce("toxic", F.lit(0))) < 1)).cast("int").alias("good"))
     drawn = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)  # bounded by `sample`
-    rows = made.join(F.broadcast(drawn), "doc_id").dropDuplicates(["doc_id"]).select("doc_id", "good", "content", "page", F.pmod(F.xxhash64("doc_id"), F.lit(5)).alias("fold")).collect()
-    y = np.array([r.good for r in rows], float)
+    rows = made.join(F.broadcast(drawn), "doc_id").dropDuplicates(["doc_id"]).select("good", "content", "page", F.pmod(F.xxhash64("doc_id"), F.lit(5)).alias("fold")).toArrow()
+    y = rows["good"].to_numpy().astype(float)
     if not len(y) or y.min() == y.max():
         share = F.lit(float(y.mean()) if len(y) else 0.5)
         return made.select("doc_id", share.alias("content_score"), share.alias("page_score"), share.alias("score"), (share >= threshold).alias("kept"))
-    train = np.array([r.fold != 0 for r in rows])
+    train = rows["fold"].to_numpy() != 0
     if len(set(y[train])) < 2 or len(set(y[~train])) < 2:
         train = np.ones(len(y), bool)  # too few to hold some out
-    views, spaces = _lists(rows), (CONTENT, PAGE)
+    views, spaces = (_arrays(rows["content"]), _arrays(rows["page"])), (CONTENT, PAGE)
     first = [[v[i] for i in np.flatnonzero(train)] for v in views]
     extra: list[dict[int, tuple[np.ndarray, int]]] = [{}, {}]  # of each view: u -> (features, pseudo-label)
-    free = made.join(known.select("doc_id"), "doc_id", "left_anti")
     weights = [fit(first[i], y[train], spaces[i]) for i in (0, 1)]
     for _ in range(rounds):
-        scored = ws.write(_scored(free, weights, ["u"]), "scored")
+        # Scores alone meet the labels: features stay where they were written.
+        scored = ws.write(_scored(made, weights, ["u", "doc_id"]).join(known.select("doc_id"), "doc_id", "left_anti"), "scored")
         for mine, other, column in ((0, 1, "content_odds"), (1, 0, "page_odds")):
             for label, order in ((1, F.desc(column)), (0, F.asc(column))):
                 best = scored.orderBy(order, "u").limit(growth).select("u")  # distributed top rows
-                for r in made.join(F.broadcast(best), "u").select("u", "content", "page").collect():
-                    extra[other].setdefault(r.u, (np.array((r.content, r.page)[other], np.int64), label))
+                found = made.join(F.broadcast(best), "u").select("u", ("content", "page")[other]).toArrow()
+                for u, x in zip(found["u"].to_pylist(), _arrays(found.column(1))):
+                    extra[other].setdefault(u, (x, label))
         for i in (0, 1):
             more = list(extra[i].values())
             weights[i] = fit(first[i] + [x for x, _ in more], np.concatenate([y[train], [float(k) for _, k in more]]), spaces[i])
