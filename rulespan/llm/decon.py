@@ -46,42 +46,54 @@ def windows(items: DataFrame) -> DataFrame:
     return win.select(F.col("w").alias("win"), k.alias("k"), places.alias("places"))
 
 
-def _exploded(docs: DataFrame, sizes: list[int]) -> DataFrame:
-    """One row a shingle: key columns, the words w, shingle size k, place p, hash h (null if there is none).
+def _exploded(docs: DataFrame, k: int) -> DataFrame:
+    """One row a k-word shingle: key columns, the words w, place p, hash h (null if there is none).
 
     The outer form keeps Catalyst from inferring a filter on the array's size, which it would
     push below and inline the tokenizing into the lambda, once a word.
     """
-    parts = [docs.select("doc_id", "dig", "w", F.lit(k).alias("k"), F.expr(_shingles(k)).alias("_h")).select("doc_id", "dig", "w", "k", F.posexplode_outer("_h").alias("p", "h")) for k in sizes]
-    out = parts[0]
-    for x in parts[1:]:
-        out = out.union(x)
-    return out
+    return docs.select("doc_id", "dig", "w", F.expr(_shingles(k)).alias("_h")).select("doc_id", "dig", "w", F.posexplode_outer("_h").alias("p", "h"))
 
 
 def hits(docs: DataFrame, items: DataFrame) -> DataFrame:
     """Verified occurrences (doc_id, dig, start, len, win), repeated ones removed."""
+    base = docs.select("doc_id", F.xxhash64(F.col("text")).alias("dig"), words("text").alias("w"))
     win = windows(items).cache()
     try:
-        sizes = sorted(r.k for r in win.select("k").distinct().collect())
-        n = win.count()
-        base = docs.select("doc_id", F.xxhash64(F.col("text")).alias("dig"), words("text").alias("w"))
-        if not n:
-            return base.select("doc_id", "dig", F.lit(0).alias("start"), F.lit(0).alias("len"), F.col("w").alias("win")).where(F.lit(False))
-        near = F.broadcast if n <= BROADCAST_ROWS else (lambda x: x)
-        # Rarity: occurrences over all documents of every shingle that some window has.
-        each = win.select("win", "k", F.explode("places").alias("s")).select("win", "k", "s.h", "s.o")
-        every = each.select("k", "h").distinct()
-        counted = _exploded(base, sizes).select("k", "h").join(near(every), ["k", "h"]).groupBy("k", "h").agg(F.count("*").alias("n"))
-        ranked = each.join(near(counted) if n <= BROADCAST_ROWS else counted, ["k", "h"], "left").groupBy("win", "k").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), F.col("h").alias("h"), F.col("o").alias("o"))).alias("s"))
-        prefix = ranked.where("s.n > 0").select("k", F.col("s.h").alias("h"), F.col("s.o").alias("o"), "win", F.size("win").alias("len"))
-        found = _exploded(base, sizes).join(near(prefix), ["k", "h"])
-        start = F.col("p") - F.col("o")
-        found = found.where((start >= 0) & (start + F.col("len") <= F.size("w")))  # position, length
-        found = found.where(F.expr(f"slice(w, greatest(p - o, 0) + 1, len)") == F.col("win"))  # exact
-        return found.select("doc_id", "dig", start.alias("start"), "len", "win").distinct()
+        counted = {r.k: r.n for r in win.groupBy("k").agg(F.count("*").alias("n")).collect()}  # at most SHINGLE rows
+        parts = [_hits(base, win.where(F.col("k") == k), k, sum(counted.values()) <= BROADCAST_ROWS) for k in sorted(counted)]
     finally:
         win.unpersist()
+    if not parts:
+        return base.select("doc_id", "dig", F.lit(0).alias("start"), F.lit(0).alias("len"), F.col("w").alias("win")).where(F.lit(False))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.union(p)
+    return out.distinct()
+
+
+def _hits(base: DataFrame, win: DataFrame, k: int, few: bool) -> DataFrame:
+    """Occurrences of windows that are indexed by k-word shingles. few: their index may be broadcast."""
+    near = F.broadcast if few else (lambda x: x)
+    # Rarity: occurrences over all documents of every shingle that some window has.
+    each = win.select("win", F.explode("places").alias("s")).select("win", "s.h", "s.o")
+    seen = _exploded(base, k).select("h").join(near(each.select("h").distinct()), "h").groupBy("h").agg(F.count("*").alias("n"))
+    ranked = each.join(near(seen), "h").groupBy("win").agg(F.min(F.struct("n", "h", "o")).alias("s"), F.count_distinct("o").alias("found"))
+    # A window with a shingle that no document has occurs nowhere.
+    prefix = ranked.where(F.col("found") == F.size("win") - (k - 1)).select(F.col("s.h").alias("h"), F.col("s.o").alias("o"), "win", F.size("win").alias("len"))
+    start = F.col("p") - F.col("o")
+    inside = (start >= 0) & (start + F.col("len") <= F.size("w"))  # position, length
+    exact = F.expr("slice(w, greatest(p - o, 0) + 1, len)") == F.col("win")
+    shown = ["doc_id", "dig", start.alias("start"), "len", "win"]
+    if few:
+        return _exploded(base, k).join(near(prefix), "h").where(inside & exact).select(*shown)
+    # A large index is shuffled, and with it places alone; the candidates then meet each text once.
+    found = _exploded(base, k).select("doc_id", "dig", "p", "h").join(prefix, "h").where(start >= 0)
+    by_text = found.groupBy(F.col("doc_id").alias("_id"), F.col("dig").alias("_dig")).agg(F.collect_set(F.struct("p", "o", "len", "win")).alias("c"))
+    texts = base.dropDuplicates(["doc_id", "dig"])
+    both = texts.join(by_text, texts["doc_id"].eqNullSafe(F.col("_id")) & (F.col("dig") == F.col("_dig")))
+    open_ = F.filter("c", lambda x: (x["p"] - x["o"] + x["len"] <= F.size("w")) & (F.slice("w", x["p"] - x["o"] + 1, x["len"]) == x["win"]))
+    return both.select("doc_id", "dig", F.explode(open_).alias("x")).select("doc_id", "dig", (F.col("x.p") - F.col("x.o")).alias("start"), "x.len", "x.win")
 
 
 def covered(spans: str) -> str:

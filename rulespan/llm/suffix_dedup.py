@@ -13,8 +13,10 @@ stretch of windows that share an anchor (about 575 bytes). In a shard:
   computed in permuted order, and runs of suffixes sharing 400 bytes from two places or more
   are repeats.
 * An anchor with more than HOT distinct stretches (one passage in very many contexts) would
-  make a shard grow with the corpus. Its windows are counted by 128-bit digest instead,
-  combined map-side, so no task gathers them.
+  make a shard grow with the corpus. Its stretches are cut into blocks of GRID window starts,
+  aligned to the anchor, whose 128-bit digests are counted with map-side combining: a block
+  that occurs again is repeated, one whose core (the bytes all its windows share) does not
+  occur again is not, and only the blocks between, at a passage's ends, count windows singly.
 
 Strings are judged on the input, so removal order does not matter. Rows are told apart by
 their place in the scan; when a text is read again for its stretches its hash is compared,
@@ -44,7 +46,8 @@ WINDOW = 400  # bytes
 GRAM = 50  # bytes hashed for an anchor
 PIECE = 1 << 20  # window starts handled at once
 SHARD = 1 << 20  # bytes suffix-sorted at once
-HOT = 256  # distinct stretches of one anchor in a shard
+HOT = 128  # distinct stretches of one anchor in a shard
+GRID = 16  # window starts in a block of a hot anchor
 BASE = 0x9E3779B97F4A7C15 | 1
 _powers: dict[str, np.ndarray] = {}
 
@@ -59,8 +62,8 @@ def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers["up"], _powers["down"]
 
 
-def stretches(x: np.ndarray, window: int = WINDOW, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(first window start, last, anchor hash) of runs of windows of x that share an anchor; len(x) >= window."""
+def stretches(x: np.ndarray, window: int = WINDOW, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(first window start, last, anchor hash, anchor place) of runs of windows of x that share an anchor; len(x) >= window."""
     n, w = len(x), window - gram + 1
     up, down = _power(n + 1)
     sums = np.concatenate([[np.uint64(0)], np.cumsum((x.astype(np.uint64) + np.uint64(1)) * up[:n], dtype=np.uint64)])
@@ -78,7 +81,7 @@ def stretches(x: np.ndarray, window: int = WINDOW, gram: int = GRAM) -> tuple[np
     at = (np.minimum(behind[:starts], ahead[w - 1 : w - 1 + starts]) & low).astype(np.int64)
     first = np.flatnonzero(np.diff(at, prepend=-1))
     last = np.concatenate([first[1:], [starts]]) - 1
-    return first, last, h[at[first]]
+    return first, last, h[at[first]], at[first]
 
 
 def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -103,7 +106,7 @@ def survey(data: bytes, window: int = WINDOW) -> tuple[dict[tuple[int, int], lis
     digest = xxhash.xxh3_64_intdigest
     for at in range(0, max(len(data) - window + 1, 0), PIECE):
         piece = data[at : at + PIECE + window - 1]
-        for a, b, h in zip(*(v.tolist() for v in stretches(np.frombuffer(piece, np.uint8), window))):
+        for a, b, h, _ in zip(*(v.tolist() for v in stretches(np.frombuffer(piece, np.uint8), window))):
             key = (h, digest(piece[a : b + window]))
             if (f := found.get(key)) is None:
                 found[key] = [1, at + a, at + b]
@@ -210,19 +213,62 @@ def repeats(docs: DataFrame, ws: Workspace, window: int = WINDOW, hot: int = HOT
     parts = ws.write(parts, "parts")
     sorted_ = parts.where("not hot").select("h", "u", "a", "part").repartition("h").sortWithinPartitions("h").mapInArrow(_suffix_sorted(window), "u bigint, a bigint, b bigint")
 
-    def digests(places, starts, texts):
-        for u, a, p in zip(places, starts, texts):
-            for i in range(len(p) - window + 1):
-                w = xxhash.xxh3_128_intdigest(p[i : i + window])
-                yield _signed(w >> 64), _signed(w & (1 << 64) - 1), u, a + i
-
-    crowded = parts.where("hot")
+    crowded = parts.where("hot").select("u", "a", "part")
     if crowded.isEmpty():
         return base, equal.union(sorted_)
-    windows = map_rows(crowded.select("u", "a", "part"), digests, {"x": "long", "y": "long", "u": "long", "s": "long"}, pass_rows=64)
-    many = ws.write(windows.groupBy("x", "y").agg(F.count("*").alias("n")).where("n > 1").select("x", "y"), "windows")
-    counted = windows.join(many, ["x", "y"]).select("u", F.col("s").alias("a"), F.col("s").alias("b"))
-    return base, equal.union(sorted_).union(counted)
+    return base, equal.union(sorted_).union(_crowded(crowded, ws, window))
+
+
+def _two(data: bytes) -> tuple[int, int]:
+    w = xxhash.xxh3_128_intdigest(data)
+    return _signed(w >> 64), _signed(w & (1 << 64) - 1)
+
+
+def grid(part: bytes, window: int = WINDOW) -> Iterator[tuple[int, int, bytes, bytes]]:
+    """(first start, last start, block bytes, core bytes) of a stretch's blocks; both begin with the block's number.
+
+    Blocks are cut by distance from the anchor, so equal windows lie in blocks of one number.
+    A block cut short by the stretch's end has the core of the whole one: a stretch holds it.
+    """
+    _, last, _, place = stretches(np.frombuffer(part, np.uint8), window)
+    shift, end = (window - int(place[0])) % GRID, int(last[-1])
+    at = 0
+    while at <= end:
+        first = at - (at + shift) % GRID  # of the whole block
+        to = min(first + GRID - 1, end)
+        number = b"%d:" % ((first - int(place[0])) // GRID)
+        yield at, to, number + b"%d:" % (at - first) + part[at : to + window], number + part[first + GRID - 1 : first + window]
+        at = to + 1
+
+
+def _crowded(parts: DataFrame, ws: Workspace, window: int) -> DataFrame:
+    """parts(u, a, part) of hot anchors to repeated ranges (u, a, b)."""
+
+    def cut(places, starts, texts):
+        for u, a, p in zip(places, starts, texts):
+            for first, last, block, core in grid(p, window):
+                yield u, a, first, last, *_two(block), *_two(core)
+
+    schema = {"u": "long", "a": "long", "first": "long", "last": "long", "x": "long", "y": "long", "cx": "long", "cy": "long"}
+    blocks = ws.write(map_rows(parts, cut, schema, pass_rows=256), "blocks")
+    # Equal blocks collapse to one with a count; cores that several kinds of block share are looked into.
+    kinds = ws.write(blocks.groupBy("cx", "cy", "x", "y").agg(F.count("*").alias("n"), F.min(F.struct("u", "a", "first", "last")).alias("one")), "kinds")
+    again = kinds.where("n > 1").select("x", "y")
+    shared = kinds.groupBy("cx", "cy").agg(F.count("*").alias("n")).where("n > 1").select("cx", "cy")
+    whole = blocks.join(again, ["x", "y"]).select("u", (F.col("a") + F.col("first")).alias("a"), (F.col("a") + F.col("last")).alias("b"))
+    between = kinds.join(shared, ["cx", "cy"]).select("one.*")
+    between = between.groupBy("u", "a").agg(F.collect_list(F.struct("first", "last")).alias("open")).join(parts, ["u", "a"]).select("u", "a", "open", "part")
+
+    def digests(places, starts, opens, texts):
+        for u, a, want, p in zip(places, starts, opens, texts):
+            for w in want:
+                for i in range(w["first"], w["last"] + 1):
+                    yield *_two(p[i : i + window]), u, a + i
+
+    windows = ws.write(map_rows(between, digests, {"x": "long", "y": "long", "u": "long", "s": "long"}, pass_rows=64), "windows")
+    # A start has one anchor, so rows are different places; one block of each kind stands for its equals.
+    many = windows.groupBy("x", "y").agg(F.count("*").alias("n")).where("n > 1").select("x", "y")
+    return whole.union(windows.join(many, ["x", "y"]).select("u", F.col("s").alias("a"), F.col("s").alias("b")))
 
 
 def removed_spans(ranges: list[tuple[int, int]], window: int = WINDOW) -> list[tuple[int, int]]:
