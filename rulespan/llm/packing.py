@@ -7,8 +7,9 @@ rows whatever the corpus; the plan is made from it on the driver and the pieces
    up to their group's longest.
 2. Configurations (multisets of rounded lengths that fit a sequence) are optimised by column
    generation: a simplex over the groups, priced by a knapsack over the capacity.
-3. Actual lengths are substituted for the rounded ones, in runs, which leaves gaps.
-4. Small lengths go, longest first, where the gap is tightest.
+3. Actual lengths are substituted for the rounded ones, in runs. Sequences that this leaves
+   nearly full stand; where rounding left more room than capacity / TIGHT, the pieces go back.
+4. Small lengths and those that went back go, longest first, where the gap is tightest.
 
 A plan row says that pieces number lo..lo+n-1 of a length go to n consecutive sequences at
 one offset. Pieces get that number from their task, their place in it, and a running sum of
@@ -34,8 +35,9 @@ from .common import Workspace
 from .tokens import TOKENIZER, chunks
 
 CAPACITY, END = 2048, 0
-SMALL = 8  # lengths up to capacity / SMALL are small
-GROUPS = 96
+SMALL = 4  # lengths up to capacity / SMALL are small
+GROUPS = 48
+TIGHT = 256
 
 
 def _price(sizes: np.ndarray, worth: np.ndarray, capacity: int) -> tuple[float, np.ndarray]:
@@ -105,6 +107,7 @@ def plan(histogram: dict[int, int], capacity: int = CAPACITY, groups: int = GROU
         given[length] += n
 
     small = capacity // SMALL
+    rest = defaultdict(int, {k: n for k, n in histogram.items() if k <= small and n})
     large = sorted(((k, n) for k, n in histogram.items() if k > small and n), reverse=True)
     if large:
         total = sum(n for _, n in large)
@@ -124,28 +127,33 @@ def plan(histogram: dict[int, int], capacity: int = CAPACITY, groups: int = GROU
             by_size.setdefault(g[0][0], []).extend(g)
         sizes = list(by_size)
         for n, take in configurations(sizes, [sum(k for _, k in by_size[x]) for x in sizes], capacity):
-            slots = [x for x, t in zip(sizes, take) for _ in range(int(t))]
-            todo = [(sequences, n, 0)]
-            sequences += n
-            for size in slots:
+            todo: list[tuple[int, tuple[int, ...]]] = [(n, ())]  # (sequences, their lengths)
+            for size in [x for x, t in zip(sizes, take) for _ in range(int(t))]:
                 queue, after = by_size[size], []
-                for first, m, used in todo:
-                    while m:
-                        if not queue:
-                            after.append((first, m, used))
-                            break
+                for m, held in todo:
+                    while m and queue:
                         length, k = queue[0][0], min(m, queue[0][1])
-                        put(length, k, first, used)
-                        after.append((first, k, used + length))
+                        after.append((k, (*held, length)))
                         queue[0][1] -= k
                         if not queue[0][1]:
                             queue.pop(0)
-                        first, m = first + k, m - k
+                        m -= k
+                    if m:  # more places than pieces
+                        after.append((m, held))
                 todo = after
-            for first, m, used in todo:
-                gaps[capacity - used].append((first, m))
-    for length in sorted((k for k, n in histogram.items() if k <= small and n), reverse=True):
-        n, room = histogram[length], length
+            for m, held in todo:
+                room = capacity - sum(held)
+                if room > capacity // TIGHT:
+                    for length in held:
+                        rest[length] += m
+                    continue
+                for i, length in enumerate(held):
+                    put(length, m, sequences, sum(held[:i]))
+                if room:
+                    gaps[room].append((sequences, m))
+                sequences += m
+    for length in sorted(rest, reverse=True):
+        n, room = rest[length], length
         while n:
             while room <= capacity and not gaps[room]:
                 room += 1
