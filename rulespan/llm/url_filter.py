@@ -32,15 +32,17 @@ RULES: tuple[tuple[str, str, str], ...] = (
     ("block", "example.net", "/de/8"),
     ("block", "org", "/es/"),
 )
+#: Up to the first ://, not given back when what follows fails.
+FIRST = "(?s)^(?>.*?://)"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
 def host(url: Column) -> Column:
-    return F.coalesce(F.translate(F.regexp_extract(url, r"(?s)^.*?://([^/?#]*)", 1), UPPER, LOWER), F.lit(""))
+    return F.coalesce(F.translate(F.regexp_extract(url, rf"{FIRST}([^/?#]*)", 1), UPPER, LOWER), F.lit(""))
 
 
 def path(url: Column) -> Column:
-    return F.coalesce(F.regexp_extract(url, r"(?s)^.*?://[^/?#]*(/[^?#]*)", 1), F.lit(""))
+    return F.coalesce(F.regexp_extract(url, rf"{FIRST}[^/?#]*(/[^?#]*)", 1), F.lit(""))
 
 
 def matched(host: Column, path: Column, rules: tuple[tuple[str, str, str], ...] = RULES) -> Column:
@@ -55,7 +57,7 @@ def matched(host: Column, path: Column, rules: tuple[tuple[str, str, str], ...]
 
 def node(url: Column) -> Column:
     """What names the page: host, and all after it but the fragment."""
-    return F.concat(host(url), F.regexp_extract(url, r"(?s)^.*?://[^/?#]*([^#]*)", 1))
+    return F.concat(host(url), F.regexp_extract(url, rf"{FIRST}[^/?#]*([^#]*)", 1))
 
 
 def targets(html: Column) -> Column:
@@ -90,27 +92,23 @@ def judge(pages: DataFrame, ws: Workspace, rules: tuple[tuple[str, str, str], ..
 
 
 ORACLE = r"""
-WITH RECURSIVE u AS (SELECT page_id, url, html, coalesce(contains(url, '://'), false) AS ok FROM pages),
-p AS (SELECT page_id, url, html, ok,
-  CASE WHEN ok THEN translate(regexp_extract(url, '://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') ELSE '' END AS host,
-  CASE WHEN ok THEN regexp_extract(url, '://[^/?#]*(/[^?#]*)', 1) ELSE '' END AS path FROM u),
+WITH RECURSIVE u AS (SELECT page_id, url, html, coalesce(contains(url, '://'), false) AS ok, CASE WHEN contains(url, '://') THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS r FROM pages),
+p AS (SELECT *, translate(regexp_extract(r, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(r, '^[^/?#]*(/[^?#]*)', 1) AS path, regexp_extract(r, '^[^/?#]*([^#]*)', 1) AS tail FROM u),
 r(verdict, h, px) AS (VALUES ('block', 'com', '/en/'), ('allow', 'example.com', '/en/7'), ('allow', 'net', '/de/'), ('block', 'example.net', '/de/8'), ('block', 'org', '/es/')),
 m AS (SELECT page_id, url, arg_max(h || px, length(h || px)) AS rule, arg_max(verdict, length(h || px)) AS own
       FROM p, r WHERE (host = h OR ends_with(host, '.' || h)) AND starts_with(path, px) GROUP BY page_id, url),
-t AS (SELECT DISTINCT url, unnest(regexp_extract_all(html, '(?is)<(?:link|meta)\b[^>]*>')) AS tag FROM p WHERE ok),
-e AS (SELECT url, CASE WHEN regexp_matches(tag, '(?is)\brel\s*=\s*["'']?canonical\b') THEN regexp_extract(tag, '(?is)\bhref\s*=\s*["'']?([^"''\s>]+)', 1)
+t AS (SELECT DISTINCT url, r, unnest(regexp_extract_all(html, '(?is)<(?:link|meta)\b[^>]*>')) AS tag FROM p WHERE ok),
+e AS (SELECT url, r, CASE WHEN regexp_matches(tag, '(?is)\brel\s*=\s*["'']?canonical\b') THEN regexp_extract(tag, '(?is)\bhref\s*=\s*["'']?([^"''\s>]+)', 1)
                        WHEN regexp_matches(tag, '(?is)\bhttp-equiv\s*=\s*["'']?refresh\b') THEN regexp_extract(tag, '(?is)\burl\s*=\s*["'']?([^"''\s>]+)', 1) END AS target FROM t),
-n AS (SELECT lower(regexp_extract(url, '://([^/?#]*)', 1)) || regexp_extract(url, '://[^/?#]*([^#]*)', 1) AS a,
-             lower(regexp_extract(target, '://([^/?#]*)', 1)) || regexp_extract(target, '://[^/?#]*([^#]*)', 1) AS b, url, target FROM e WHERE contains(target, '://')),
-s AS (SELECT a, b FROM n UNION SELECT b, a FROM n),
+x AS (SELECT r AS a, substr(target, strpos(target, '://') + 3) AS b FROM e WHERE contains(target, '://')),
+k AS (SELECT a AS r FROM x UNION SELECT b FROM x),
+kk AS (SELECT r, lower(regexp_extract(r, '^[^/?#]*')) AS host, regexp_extract(r, '^[^/?#]*(/[^?#]*)', 1) AS path, lower(regexp_extract(r, '^[^/?#]*')) || regexp_extract(r, '^[^/?#]*([^#]*)', 1) AS node FROM k),
+s AS (SELECT i.node AS a, j.node AS b FROM x JOIN kk i ON i.r = x.a JOIN kk j ON j.r = x.b UNION SELECT j.node, i.node FROM x JOIN kk i ON i.r = x.a JOIN kk j ON j.r = x.b),
 reach(a, b) AS (SELECT a, a FROM s UNION SELECT reach.a, s.b FROM reach JOIN s ON reach.b = s.a),
 root AS (SELECT a, min(b) AS root FROM reach GROUP BY a),
-v AS (SELECT a, url AS x FROM n UNION SELECT b, target FROM n),
-vv AS (SELECT v.a, v.x, arg_max(verdict, length(h || px)) AS own FROM v, r
-       WHERE (lower(regexp_extract(x, '://([^/?#]*)', 1)) = h OR ends_with(lower(regexp_extract(x, '://([^/?#]*)', 1)), '.' || h)) AND starts_with(regexp_extract(x, '://[^/?#]*(/[^?#]*)', 1), px) GROUP BY v.a, v.x),
-c AS (SELECT root FROM vv JOIN root USING (a) GROUP BY root HAVING bool_or(own = 'block') AND NOT bool_or(own = 'allow')),
+v AS (SELECT kk.r, any_value(node) AS a, arg_max(verdict, length(h || px)) AS own FROM kk, r WHERE (host = h OR ends_with(host, '.' || h)) AND starts_with(path, px) GROUP BY kk.r),
+c AS (SELECT root FROM v JOIN root USING (a) GROUP BY root HAVING bool_or(own = 'block') AND NOT bool_or(own = 'allow')),
 bl AS (SELECT a FROM root WHERE root IN (SELECT root FROM c))
 SELECT p.page_id, p.host, p.path, m.rule, coalesce(m.own, CASE WHEN bl.a IS NOT NULL THEN 'block' END, 'allow') AS verdict
-FROM p LEFT JOIN m ON p.page_id = m.page_id AND p.url = m.url
-LEFT JOIN bl ON ok AND bl.a = p.host || regexp_extract(p.url, '://[^/?#]*([^#]*)', 1)
+FROM p LEFT JOIN m ON p.page_id = m.page_id AND p.url = m.url LEFT JOIN bl ON ok AND bl.a = p.host || p.tail
 """
