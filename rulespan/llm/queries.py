@@ -11,7 +11,7 @@ from .common import Workspace, table
 
 
 def op1_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return training_order.materialise(table(spark, sf_dir, "documents"), Workspace(spark, "op1").root)
+    return training_order.materialise(table(spark, sf_dir, "documents"), Workspace(spark, "op1"))
 
 
 def op2_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,19 +1,20 @@
-"""Training order: a keyed Feistel permutation gives every sequence its slot, shards hold the slots.
+"""Training order: a keyed Feistel permutation orders every sequence, shards hold the order.
 
 Texts are tokenized, closed by an end id, joined in scan order within a task and cut into
-records of `length` 16-bit ids; a task's last record is filled up with end ids. A record's
-number is its task's base plus its place there. slot = permutation(number) over [0, n): a
-balanced Feistel network over the least even number of bits that holds n, walked on
-(permuted again) while the value is n or more. Keyed by `key`, it needs no table and no sort
-of random numbers, and inverts, so a reader can name the record of any slot.
+records of `length` 16-bit ids; a task's last record is filled up with end ids. Record i of
+task t has the number i * tasks + t. Its place is permutation(number) over [0, tasks * SPAN):
+a balanced Feistel network over the least even number of bits that holds the domain, walked
+on (permuted again) while the value is outside. Keyed by `key`, it needs no table, no count
+beforehand and no sort of random numbers, and inverts.
 
-Shard s holds slots [s * per_shard, (s + 1) * per_shard) in order, each record exactly
-2 * length bytes, so slot t starts at byte (t % per_shard) * 2 * length of its file: reads are
-sequential and resume anywhere without an index. Records reach their shard in one shuffle by
-shard range; a shard is written by one task, streaming, and appears whole or not at all.
+Places are uniform, so ranges are known without sampling: a record goes straight to the
+partition of its range, is sorted there, and a task streams each range to shard files of
+`per_shard` records of exactly 2 * length bytes (a range's last file may be shorter). Reads
+are sequential and resume anywhere without an index inside a file. A file appears whole or
+not at all. The global slot of a record is its rank: its index in its range plus the records
+of earlier ranges, one number a range.
 
-Two passes tokenize (counting, then writing): storing the tokens between them would cost
-more disk than the shards themselves. If a task's count differs between passes it fails.
+Tokens are made once and cross the network once.
 
 Defined results: null and empty texts are one end id; repeated rows are repeated; other
 columns are ignored; an empty table gives no shards and no rows.
@@ -31,12 +32,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import Workspace
 from .flat import Writer
 
 TOKENIZER, END = "byte_bpe_multi_50k.tiktoken", 50256
 LENGTH, PER_SHARD, KEY = 1024, 4096, 20_240_501
 ROUNDS = 6
-MOST_PARTITIONS = 20_000
+SPAN = 1 << 36  # records that one scan task may make
 
 
 def _mix(x: np.ndarray, key: int) -> np.ndarray:
@@ -105,47 +107,43 @@ def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[str | None]:
             yield from whole.column(0).slice(at, 256).to_pylist()
 
 
-def materialise(docs: DataFrame, folder: str, tokenizer: str = TOKENIZER, end: int = END, length: int = LENGTH, per_shard: int = PER_SHARD, key: int = KEY) -> DataFrame:
-    """Writes the shards under folder; one row a sequence: slot, shard, byte_offset, task, nth, ids_crc32."""
-    texts = docs.select("text")
+def materialise(docs: DataFrame, ws: Workspace, tokenizer: str = TOKENIZER, end: int = END, length: int = LENGTH, per_shard: int = PER_SHARD, key: int = KEY, ranges: int | None = None) -> DataFrame:
+    """Writes shards under the workspace; one row a sequence: slot, shard (file), byte_offset, task, nth, ids_crc32.
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n = sum(len(encode(t, tokenizer, end)) for t in _texts(batches))
-        yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int32()), pa.array([-(-n // length)])], ["task", "n"])
-
-    # One number a scan task: bounded by the number of input splits, not by rows.
-    counts = dict(texts.mapInArrow(count, "task int, n bigint").toPandas().itertuples(index=False, name=None))
-    n = int(sum(counts.values()))
-    base, at = {}, 0
-    for task in sorted(counts):
-        base[task], at = at, at + int(counts[task])
+    ranges: partitions of the order, by default four an input split. The shards stay until their folder is deleted.
+    """
+    texts, folder = docs.select("text"), f"{ws.root}/shards"
+    tasks = texts.rdd.getNumPartitions()
+    domain = max(tasks, 1) * SPAN
+    parts = ranges or max(1, 4 * tasks)
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task, nth = TaskContext.get().partitionId(), 0
-        stream, names = records(_texts(batches), tokenizer, end, length), ["slot", "task", "nth", "ids"]
+        stream, names = records(_texts(batches), tokenizer, end, length), ["place", "range", "task", "nth", "ids"]
         while some := [x for _, x in zip(range(512), stream)]:
-            slots = permute(base[task] + np.arange(nth, nth + len(some)), n, key)
-            yield pa.RecordBatch.from_arrays([pa.array(slots), pa.array([task] * len(some), pa.int32()), pa.array(range(nth, nth + len(some)), pa.int64()), pa.array(some, pa.binary())], names)
+            places = permute(np.arange(nth, nth + len(some)) * tasks + task, domain, key)
+            yield pa.RecordBatch.from_arrays([pa.array(places), pa.array((places // -(-domain // parts)).astype(np.int32)), pa.array([task] * len(some), pa.int32()), pa.array(range(nth, nth + len(some)), pa.int64()), pa.array(some, pa.binary())], names)
             nth += len(some)
-        if nth != counts.get(task, 0):
-            raise RuntimeError(f"task {task} made {nth} records, counted {counts.get(task, 0)}: the input changed between passes")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out, now = None, -1
+        out, now, index, shard = None, -1, 0, ""
+        names = ["range", "index", "shard", "byte_offset", "task", "nth", "ids_crc32"]
         try:
             for b in batches:
-                slots, blobs = b.column("slot").to_numpy(), b.column("ids").to_pylist()
-                for shard in np.unique(slots // per_shard).tolist():
-                    if shard != now:
+                rows = []
+                for part, task, nth, ids in zip(*(b.column(c).to_pylist() for c in ("range", "task", "nth", "ids"))):
+                    if part != now or index % per_shard == 0:
                         if out is not None:
                             out.commit()
-                        out, now = Writer(f"{folder}/shard-{shard:08d}.bin"), shard
-                    for i in np.flatnonzero(slots // per_shard == shard).tolist():
-                        if out.size != slots[i] % per_shard * 2 * length:
-                            raise RuntimeError(f"shard {shard}: slot {slots[i]} is not next")
-                        out.write(blobs[i])
-                crc = [zlib.crc32(x) for x in blobs]
-                yield pa.RecordBatch.from_arrays([b.column("slot"), pa.array(slots // per_shard), pa.array(slots % per_shard * 2 * length), b.column("task"), b.column("nth"), pa.array(crc, pa.int64())], ["slot", "shard", "byte_offset", "task", "nth", "ids_crc32"])
+                        if part != now:
+                            now, index = part, 0
+                        shard = f"shard-{part:06d}-{index // per_shard:06d}.bin"
+                        out = Writer(f"{folder}/{shard}")
+                    rows.append((part, index, shard, out.size, task, nth, zlib.crc32(ids)))
+                    out.write(ids)
+                    index += 1
+                kinds = [pa.int32(), pa.int64(), pa.string(), pa.int64(), pa.int32(), pa.int64(), pa.int64()]
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows) if rows else [()] * 7, kinds)], names)
             if out is not None:
                 out.commit()
                 out = None
@@ -153,10 +151,15 @@ def materialise(docs: DataFrame, folder: str, tokenizer: str = TOKENIZER, end: i
             if out is not None:
                 out.abort()
 
-    dealt = texts.mapInArrow(deal, "slot bigint, task int, nth bigint, ids binary")
-    shards = max(1, -(-n // per_shard))
-    # Slots are dense, so ranges are known without sampling: each partition gets whole, consecutive shards.
-    parts = min(shards, MOST_PARTITIONS)
-    range_of = F.expr(f"cast((slot div {per_shard}) * {parts} div {shards} as int)")
-    ranged = dealt.repartitionById(parts, range_of).sortWithinPartitions("slot")
-    return ranged.select("slot", "task", "nth", "ids").mapInArrow(write, "slot bigint, shard bigint, byte_offset bigint, task int, nth bigint, ids_crc32 bigint")
+    dealt = texts.mapInArrow(deal, "place bigint, `range` int, task int, nth bigint, ids binary")
+    ranged = dealt.repartitionById(parts, F.col("range")).sortWithinPartitions("place")
+    written = ws.write(ranged.mapInArrow(write, "`range` int, index bigint, shard string, byte_offset bigint, task int, nth bigint, ids_crc32 bigint"), "index")
+    sizes = {r["range"]: r.n for r in written.groupBy("range").agg(F.count("*").alias("n")).collect()}  # at most `parts` rows
+    before = np.cumsum([0] + [sizes.get(i, 0) for i in range(parts)])
+
+    def rank(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            slot = before[b.column(0).to_numpy()] + b.column(1).to_numpy()
+            yield pa.RecordBatch.from_arrays([pa.array(slot), *b.columns[2:]], ["slot", "shard", "byte_offset", "task", "nth", "ids_crc32"])
+
+    return written.mapInArrow(rank, "slot bigint, shard string, byte_offset bigint, task int, nth bigint, ids_crc32 bigint")

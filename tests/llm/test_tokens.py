@@ -12,6 +12,7 @@ from hypothesis import given, settings, strategies as st
 from tokenizers import Tokenizer
 
 from rulespan.llm import packing, token_counts, training_order
+from rulespan.llm.common import Workspace
 from rulespan.llm.flat import Writer, read_range
 from rulespan.llm.tokens import TOKENIZER, chunks
 
@@ -98,24 +99,30 @@ def test_permutation(n):
     assert n < 1000 or (slots != training_order.permute(every, n, key=10)).mean() > 0.9
 
 
-def test_shards_round_trip(odd, odd_rows, cluttered, empty, ws):
+def test_shards_round_trip(spark, odd, odd_rows, cluttered, empty, ws):
     for k, docs in enumerate((odd, cluttered)):
-        folder = f"{ws.root}/shards{k}"
-        got = training_order.materialise(docs, folder, length=64, per_shard=16).collect()
+        own = Workspace(spark, "order")
+        folder = f"{own.root}/shards"
+        got = training_order.materialise(docs, own, length=64, per_shard=16, ranges=3 + k).collect()
         n = len(got)
         assert sorted(r.slot for r in got) == list(range(n))
         stream = defaultdict(dict)
         for r in got:
-            data = read_range(f"{folder}/shard-{r.shard:08d}.bin", r.byte_offset, 128)
-            assert zlib.crc32(data) == r.ids_crc32 and r.slot == r.shard * 16 + r.byte_offset // 128
+            data = read_range(f"{folder}/{r.shard}", r.byte_offset, 128)
+            assert zlib.crc32(data) == r.ids_crc32 and r.byte_offset % 128 == 0 and r.byte_offset < 16 * 128
             stream[r.task][r.nth] = data
+        files = sorted((r.shard, r.byte_offset, r.slot) for r in got)
+        assert [x[2] for x in files] == list(range(n))  # files in name order hold the slots in order
+        tasks = docs.rdd.getNumPartitions()
+        places = training_order.permute(np.array([r.nth * tasks + r.task for r in sorted(got, key=lambda r: r.slot)]), tasks * training_order.SPAN)
+        assert (np.diff(places) > 0).all()  # the order is the permutation's
         ids = np.frombuffer(b"".join(s[i] for _, s in sorted(stream.items()) for i in range(len(s))), "<u2")
         want = Counter(tuple(training_order.encode(t).tolist()) for _, t, *_ in odd_rows)
         cuts = np.split(ids, np.flatnonzero(ids == training_order.END) + 1)
         found = Counter(tuple(c.tolist()) for c in cuts if len(c))
         found[training_order.END,] = want[training_order.END,]  # fillers look like empty documents
         assert found == want
-    assert training_order.materialise(empty, f"{ws.root}/none").count() == 0
+    assert training_order.materialise(empty, ws).count() == 0
 
 
 @pytest.mark.parametrize("block", [2, 64, 4 << 20])
@@ -140,6 +147,4 @@ def test_counts(spark, odd, odd_rows, empty, ws, block):
 
 def test_report_shapes(spark, cluttered, odd_rows, empty, ws):
     assert token_counts.report(spark, cluttered, ws).count() == len(odd_rows)
-    from rulespan.llm.common import Workspace
-
     assert token_counts.report(spark, empty, Workspace(spark, "none")).count() == 0
