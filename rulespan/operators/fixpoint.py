@@ -94,7 +94,7 @@ def fixpoint(spark: SparkSession, part: list[str], rules: list[Rule], outside: C
         if not changed:
             break
     if not any(best.values()):
-        found = small_fixpoint(spark, part, recursive, outside, start)
+        found = small_fixpoint(spark, part, recursive, outside, start, mine[part[0]] if len(part) == 1 else None)
         if found is not None:
             return found
     known = {h: Known(scratch, start[h]) for h in start}

@@ -202,3 +202,22 @@ def test_insert_into_a_table(spark, engine):
     assert engine.execute('+t[(2, "b"), (3, "c")]') == ["Inserted 1 fact(s) into 't'."]
     engine.execute('-t(1, "a")')
     assert rows(engine.query("?t(K, S)")) == [(2, "b"), (3, "c")]
+
+
+def test_closure_patterns():
+    from rulespan.operators.closure import closure as fast, edge_relation
+    from rulespan.plans.parser import parse_program
+
+    def rules(text):
+        return [s.rule for s in parse_program(text)]
+
+    base = "r(X, Y) <- e(X, Y)\n"
+    for step in ("r(X, Z) <- r(X, Y), e(Y, Z)", "r(X, Z) <- e(X, Y), r(Y, Z)", "r(A, C) <- r(A, B), r(B, C)", "r(X, Z) <- e(Y, Z), r(X, Y)"):
+        assert edge_relation("r", rules(base + step)) == "e", step
+    for other in ("r(X, Z) <- r(X, Y), f(Y, Z)", "r(X, Z) <- r(Y, X), e(Y, Z)", "r(X, Z) <- r(X, Y), e(Z, Y)", "r(X, Z) <- r(X, Y), e(Y, Z), X < Z", "r(X, X) <- r(X, Y), e(Y, X)", "r(X, Z) <- r(X, Z), e(Z, X)"):
+        assert edge_relation("r", rules(base + other)) is None, other
+    rng = random.Random(0)
+    for n, m in ((1, 1), (5, 4), (12, 14), (12, 30)):
+        edges = {(rng.randrange(n), rng.randrange(n)) for _ in range(m)}
+        nodes, a, b = fast(edges)
+        assert {(nodes[i], nodes[j]) for i, j in zip(a, b)} == closure(edges)
