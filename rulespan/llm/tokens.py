@@ -15,13 +15,14 @@ from functools import lru_cache
 import public_tokenizers
 
 TOKENIZER = "word_bpe_49k.json"
+TAILED = re.compile(r"([^\W\d_]+)([^\w\s'<|\u0300-\U0010ffff]+)")
 JOINED_MARKS = re.compile(r"[^\w\s][.,]|_[.,]")
 
 
 class Chunks(dict):
     """chunk -> its ids as little-endian unsigned 32-bit bytes; emptied when above `limit` chunks."""
 
-    def __init__(self, path: str, specials_as_text: bool = False, limit: int = 600_000):
+    def __init__(self, path: str, specials_as_text: bool = False, limit: int = 1_000_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
@@ -46,6 +47,9 @@ class Chunks(dict):
         return text.split(" ")
 
     def _learn(self, missing: set[str]) -> None:
+        # A word and its trailing symbols are two pre-tokens, so only the word may be new.
+        tailed = {x: m.groups() for x in missing if not x.isalpha() and (m := TAILED.fullmatch(x)) and m[1].isalpha() and max(x) < "\u0130"}
+        missing = missing.difference(tailed).union(y for pair in tailed.values() for y in pair if y not in self)
         # One letter run is one pre-token; without combining marks nothing normalises across words.
         letters = [x for x in missing if x.isalpha() and max(x) < "\u0130"]
         for at in range(0, len(letters), 1000):
@@ -58,6 +62,8 @@ class Chunks(dict):
                 k = end
         for x in missing.difference(letters):
             self[x] = array("I", self.tokenizer.encode(x, add_special_tokens=False).ids).tobytes()
+        for x, (word, tail) in tailed.items():
+            self[x] = self[word] + self[tail]
 
     def ids(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each text; null is empty."""
