@@ -4,13 +4,12 @@ The content view sees which words (and word beginnings) a text has; the page vie
 metadata and layout: language, source, length, lines, shares of symbols, digits, capitals,
 repeated lines and words. Each is a logistic regression. After a first fit on labelled rows,
 each round scores every unlabelled document with both views; each view's most confident
-documents of either class become pseudo-labelled examples of the other view, which is fitted
-again. Held-out labelled rows calibrate each view (Platt) and weigh the two log odds; then
-every document is scored.
+documents of either class, if calibrated odds make them sure enough, become pseudo-labelled
+examples of the other view, which is fitted again. Odds of labelled rows from fits without their fold calibrate each view (Platt) and
+weigh the two; then every document is scored.
 
 A good document has quality 1 and is not toxic. The fit uses a bounded sample: at most SAMPLE
-labelled rows by hash of their id, a fifth of them held out, and GROWTH pseudo-labels a
-class, view and round, chosen among all unlabelled documents. Everything else covers all
+labelled rows by hash of their id and GROWTH pseudo-labels a class, view and round, chosen among all unlabelled documents. Everything else covers all
 rows: features are made once for each and scored in every round. Features stay distributed;
 only the sample's reach the driver.
 
@@ -39,6 +38,8 @@ SAMPLE = 8000  # labelled rows
 GROWTH = 400  # pseudo-labels a class, view and round
 ROUNDS = 2
 CONTENT, PAGE = 1 << 18, 1 << 12  # feature spaces
+SURE = 0.95  # calibrated probability that a pseudo-label needs
+FOLDS = 3  # of labelled rows, for calibration
 SEEN = 4  # training rows a feature must be in
 WORD = re.compile(r"[^\W\d_]+")
 SYMBOLS = re.compile(r"[^\w\s.,;:!?'\"()-]")
@@ -147,38 +148,54 @@ def _arrays(column: pa.ChunkedArray) -> list[np.ndarray]:
     return np.split(flat, ends[:-1]) if len(ends) else []
 
 
+def _refit(lists: list[np.ndarray], y: np.ndarray, extra: dict[int, tuple[np.ndarray, int]], space: int, use: np.ndarray) -> np.ndarray:
+    """A fit on the used labelled rows and the pseudo-labelled ones."""
+    more = list(extra.values())
+    return fit([lists[k] for k in np.flatnonzero(use)] + [x for x, _ in more], np.concatenate([y[use], [float(k) for _, k in more]]), space)
+
+
 def score(docs: DataFrame, labels: DataFrame, ws: Workspace, rounds: int = ROUNDS, growth: int = GROWTH, sample: int = SAMPLE, threshold: float = 0.5) -> DataFrame:
     """(doc_id, content_score, page_score, score, kept), one row a document (query op8_quality_classifier)."""
     made = ws.write(features(docs), "features")
     known = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(((F.min("quality") > 0) & (F.max(F.coalesce("toxic", F.lit(0))) < 1)).cast("int").alias("good"))
     drawn = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)  # bounded by `sample`
-    rows = made.join(F.broadcast(drawn), "doc_id").dropDuplicates(["doc_id"]).select("good", "content", "page", F.pmod(F.xxhash64("doc_id"), F.lit(5)).alias("fold")).toArrow()
+    rows = made.join(F.broadcast(drawn), "doc_id").dropDuplicates(["doc_id"]).select("good", "content", "page", F.pmod(F.xxhash64("doc_id"), F.lit(FOLDS)).alias("fold")).toArrow()
     y = rows["good"].to_numpy().astype(float)
     if not len(y) or y.min() == y.max():
         share = F.lit(float(y.mean()) if len(y) else 0.5)
         return made.select("doc_id", share.alias("content_score"), share.alias("page_score"), share.alias("score"), (share >= threshold).alias("kept"))
-    train = rows["fold"].to_numpy() != 0
-    if len(set(y[train])) < 2 or len(set(y[~train])) < 2:
-        train = np.ones(len(y), bool)  # too few to hold some out
+    fold = rows["fold"].to_numpy()
     views, spaces = (_arrays(rows["content"]), _arrays(rows["page"])), (CONTENT, PAGE)
-    first = [[v[i] for i in np.flatnonzero(train)] for v in views]
     extra: list[dict[int, tuple[np.ndarray, int]]] = [{}, {}]  # of each view: u -> (features, pseudo-label)
-    weights = [fit(first[i], y[train], spaces[i]) for i in (0, 1)]
+    def calibrated() -> np.ndarray:
+        """Odds of labelled rows, each from fits without its fold."""
+        z = np.zeros((len(y), 2))
+        for f in range(FOLDS):
+            held = fold == f
+            if held.any() and len(set(y[~held])) == 2:
+                for i in (0, 1):
+                    z[held, i] = odds([views[i][k] for k in np.flatnonzero(held)], _refit(views[i], y, extra[i], spaces[i], ~held))
+        return z
+
+    everything = np.ones(len(y), bool)
+    weights = [fit(views[i], y, spaces[i]) for i in (0, 1)]
+    z = calibrated()
     for _ in range(rounds):
         # Scores alone meet the labels: features stay where they were written.
         scored = ws.write(_scored(made, weights, ["u", "doc_id"]).join(known.select("doc_id"), "doc_id", "left_anti"), "scored")
         for mine, other, column in ((0, 1, "content_odds"), (1, 0, "page_odds")):
-            for label, order in ((1, F.desc(column)), (0, F.asc(column))):
-                best = scored.orderBy(order, "u").limit(growth).select("u")  # distributed top rows
+            slope, level = platt(z[:, mine : mine + 1], y)
+            if slope <= 0:
+                continue  # a view that tells nothing teaches nothing
+            for label, order, sure in ((1, F.desc(column), 1), (0, F.asc(column), -1)):
+                confident = sure * (float(slope) * F.col(column) + float(level)) >= float(np.log(SURE / (1 - SURE)))
+                best = scored.where(confident).orderBy(order, "u").limit(growth).select("u")  # distributed top rows
                 found = made.join(F.broadcast(best), "u").select("u", ("content", "page")[other]).toArrow()
                 for u, x in zip(found["u"].to_pylist(), _arrays(found.column(1))):
                     extra[other].setdefault(u, (x, label))
-        for i in (0, 1):
-            more = list(extra[i].values())
-            weights[i] = fit(first[i] + [x for x, _ in more], np.concatenate([y[train], [float(k) for _, k in more]]), spaces[i])
-    held = ~train if (~train).any() else train
-    z = np.column_stack([odds([v[i] for i in np.flatnonzero(held)], w) for v, w in zip(views, weights)])
-    (a, a0), (b, b0), (c, d, e) = platt(z[:, :1], y[held]), platt(z[:, 1:], y[held]), platt(z, y[held])
+        weights = [_refit(views[i], y, extra[i], spaces[i], everything) for i in (0, 1)]
+        z = calibrated()
+    (a, a0), (b, b0), (c, d, e) = platt(z[:, :1], y), platt(z[:, 1:], y), platt(z, y)
     logistic = lambda x: 1 / (1 + F.exp(-x))
     out = _scored(made, weights, ["doc_id"])
     s = logistic(float(c) * F.col("content_odds") + float(d) * F.col("page_odds") + float(e))
