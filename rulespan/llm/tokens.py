@@ -22,7 +22,7 @@ JOINED_MARKS = re.compile(r"[^\w\s][.,]|_[.,]")
 class Chunks(dict):
     """chunk -> its ids as little-endian unsigned 32-bit bytes; emptied when above `limit` chunks."""
 
-    def __init__(self, path: str, specials_as_text: bool = False, limit: int = 1_000_000):
+    def __init__(self, path: str, specials_as_text: bool = False, limit: int = 500_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
