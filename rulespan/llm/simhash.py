@@ -25,7 +25,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import Workspace
@@ -43,19 +43,19 @@ def pivots() -> list[int]:
     return [xxhash.xxh64_intdigest(str(i).encode(), 7) for i in range(PIVOTS)]
 
 
-def hashes(text: str | None) -> np.ndarray:
-    """XXH64 (seed 42) of each shingle of the whole text."""
+def hashes(text: str | None, size: int = SHINGLE) -> np.ndarray:
+    """XXH64 (seed 42) of each shingle of `size` words of the whole text."""
     words = (text or "").encode().lower().split()
     if not words:
         return np.empty(0, np.uint64)
-    if len(words) <= SHINGLE:
+    if len(words) <= size:
         return np.array([xxhash.xxh64_intdigest(b" ".join(words), 42)], np.uint64)
     flat = b" ".join(words)
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)
-    starts = ends[:-SHINGLE + 1] - np.diff(ends, prepend=0)[:-SHINGLE + 1]
+    starts = ends[:-size + 1] - np.diff(ends, prepend=0)[:-size + 1]
     digest = xxhash.xxh64_intdigest
-    spans = zip(starts.tolist(), (ends[SHINGLE - 1 :] - 1).tolist())
-    return np.fromiter((digest(flat[a:b], 42) for a, b in spans), np.uint64, len(words) - SHINGLE + 1)
+    spans = zip(starts.tolist(), (ends[size - 1 :] - 1).tolist())
+    return np.fromiter((digest(flat[a:b], 42) for a, b in spans), np.uint64, len(words) - size + 1)
 
 
 def fold(parts: list[np.ndarray], step: int = 1 << 16) -> np.ndarray:
@@ -171,10 +171,10 @@ def links(distinct: DataFrame, ws: Workspace, tile: int = TILE) -> DataFrame:
     return dealt.mapInArrow(_links, "a bigint, b bigint")
 
 
-def _classes(marked: DataFrame, ws: Workspace) -> DataFrame:
-    """marked(doc_id, fp) -> (fp, root, component_id) for every distinct fingerprint."""
+def _classes(marked: DataFrame, ws: Workspace, near: DataFrame | None = None) -> DataFrame:
+    """marked(doc_id, fp) -> (fp, root, component_id) for every distinct fingerprint; near: edges if not links()."""
     distinct = ws.write(marked.groupBy("fp").agg(F.min("doc_id").alias("rep")), "distinct")
-    near = ws.write(links(distinct.select("fp"), ws), "links")
+    near = ws.write(links(distinct.select("fp"), ws) if near is None else near, "links")
     roots = components(near, ws)
     rooted = distinct.join(roots, distinct["fp"] == roots["node"], "left").select("fp", "rep", F.coalesce("root", "fp").alias("root"))
     # Only groups of several fingerprints can change their id.
@@ -196,14 +196,23 @@ def keep_one(docs: DataFrame, ws: Workspace) -> DataFrame:
     with the smallest content hash. Fingerprint, hash and id of each row are written first,
     the choice is made on those alone, and texts are joined to the chosen ids once.
     """
-    content = F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns])
-    slim = ws.write(fingerprints(docs.select("doc_id", content.alias("row"), "text"), ["doc_id", "row"]), "marked")
-    classes = _classes(slim, ws)
+    slim = ws.write(fingerprints(docs.select("doc_id", content(docs).alias("row"), "text"), ["doc_id", "row"]), "marked")
+    return one_of_each(docs, slim, None, ws)
+
+
+def content(docs: DataFrame) -> Column:
+    """A hash of the whole row."""
+    return F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns])
+
+
+def one_of_each(docs: DataFrame, slim: DataFrame, near: DataFrame | None, ws: Workspace) -> DataFrame:
+    """keep_one() for slim(doc_id, row: content(), fp) and edges `near` between fps."""
+    classes = _classes(slim, ws, near)
     # The least id of each component, by an aggregate that combines map-side.
     first = slim.join(classes, "fp").groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("void"), F.col("doc_id").alias("id"), F.col("row").alias("row"))).alias("b"))
     chosen = ws.write(first.select(F.col("b.id").alias("__rs_id"), F.col("b.row").alias("__rs_row")), "chosen")
     same = docs["doc_id"].eqNullSafe(F.col("__rs_id")) & (F.col("__rs_hash") == F.col("__rs_row"))
-    kept = docs.withColumn("__rs_hash", content).join(chosen, same, "left_semi")
+    kept = docs.withColumn("__rs_hash", content(docs)).join(chosen, same, "left_semi")
     # Wholly equal rows share id and hash; of those one stays.
     twins = slim.groupBy("doc_id", "row").agg(F.count("*").alias("n")).where("n > 1").select(F.col("doc_id").alias("__rs_id"), F.col("row").alias("__rs_row"))
     twins = ws.write(twins, "twins")

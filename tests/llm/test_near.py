@@ -9,7 +9,7 @@ import pytest
 import xxhash
 from hypothesis import given, settings, strategies as st
 
-from rulespan.llm import sais, simhash, suffix_dedup
+from rulespan.llm import sais, shingle_join, simhash, suffix_dedup
 from rulespan.llm.components import components
 
 
@@ -156,3 +156,53 @@ def test_texts_longer_than_a_piece(monkeypatch):
     found, _ = suffix_dedup.survey(data)
     covered = sorted(s for f in found.values() for s in range(f[1], f[2] + 1))
     assert len(covered) <= len(data) - 399 and covered[0] == 0 and covered[-1] == len(data) - 400 or len(found) < len(covered)
+
+
+def five_words(text):
+    w = (text or "").encode().lower().split()
+    return frozenset(b" ".join(w[i : i + 5]) for i in range(max(1, len(w) - 4))) if w else frozenset()
+
+
+def edited(rng, words, n):
+    out = list(words)
+    for at in rng.sample(range(len(out)), n):
+        out[at] = f"new{rng.randrange(10**9)}"
+    return out
+
+
+def alike_groups(texts):
+    sets = [five_words(t) for t in texts]
+    label = list(range(len(texts)))
+    for i, a in enumerate(sets):
+        for j in range(i):
+            b = sets[j]
+            if label[i] != label[j] and 9 * len(a & b) >= 4 * (len(a) + len(b)) and bool(a) == bool(b):
+                old, new = max(label[i], label[j]), min(label[i], label[j])
+                label = [new if x == old else x for x in label]
+    return label
+
+
+@pytest.mark.parametrize("common", [False, True])
+def test_shingle_join_finds_every_near_copy(spark, ws, odd_rows, monkeypatch, common):
+    if common:  # a boilerplate passage of most texts goes last in the order
+        monkeypatch.setattr(shingle_join, "SAMPLE", 1)
+        monkeypatch.setattr(shingle_join, "COMMON", 5)
+    rng = random.Random(21)
+    plate = [f"plate{i}" for i in range(60)]
+    docs = [(r[0], r[1]) for r in odd_rows]
+    for n in (8, 40, 200, 600, 1000):
+        for _ in range(4):
+            words = [f"w{rng.randrange(5000)}" for _ in range(n)] + plate
+            for k in (0, 1, 2, 4, n // 60, n // 50, n // 40, n // 20):  # similarities on both sides of 0.8
+                docs.append((1000 + len(docs), " ".join(edited(rng, words, k))))
+    rng.shuffle(docs)
+    df = spark.createDataFrame([(i, t, "x") for i, t in docs], "doc_id long, text string, fp string")
+    label = alike_groups([t for _, t in docs])
+    best = {}
+    for (i, _), g in zip(docs, label):
+        if i is not None:
+            best[g] = min(best.get(g, i), i)
+    kept = shingle_join.keep_one(df, ws).collect()
+    assert 5 < len(set(label)) < len(docs) - 50
+    assert Counter(r.doc_id for r in kept) == Counter(best.get(g) for g in set(label))
+    assert shingle_join.keep_one(df.limit(0), ws).count() == 0

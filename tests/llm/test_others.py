@@ -137,3 +137,19 @@ def test_every_operator_has_its_query():
 
 def test_workspace_reads_the_session_setting(spark):
     assert Workspace(spark, "x").root.startswith(spark.conf.get("spark.checkpoint.dir"))
+
+
+def test_pipeline_drops_edited_copies(spark, tmp_path):
+    rng = random.Random(31)
+    docs = []
+    for group in range(12):
+        words = [f"w{rng.randrange(5000)}" for _ in range((200, 600, 1000)[group % 3])]
+        docs.append((10 * group, " ".join(words)))
+        for copy in range(1, 4):  # each replaced word takes five shingles out of either side
+            other = list(words)
+            for at in rng.sample(range(len(words)), copy * len(words) // 200):
+                other[at] = f"new{rng.randrange(10**6)}"
+            docs.append((10 * group + copy, " ".join(other)))
+    table = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in docs], "doc_id long, text string, lang string, source string, n_chars long")
+    kept = corpus_pipeline.near_duplicates(spark, table, str(tmp_path)).collect()
+    assert {r.doc_id for r in kept} == {10 * g for g in range(12)}
