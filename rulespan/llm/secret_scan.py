@@ -3,8 +3,12 @@
 Patterns propose; structure confirms. Assignments, access ids and hex runs are reported as
 matched (the base kinds). Three further kinds are reported only if their content parses:
 a signed token's header must be base64url JSON naming an algorithm, a PEM block's body must
-decode to a private key's encoding, and a long base64 or hex run must decode to DER whose
-nested lengths all fit exactly.
+decode to a private key's encoding (or, where its headers say so, to whole cipher blocks),
+and a base64 or hex key must decode to DER whose nested lengths all fit exactly.
+
+A base64 or hex key may begin anywhere in a run of its characters and go on over white space
+and escaped line breaks: its own outer length says how many characters belong to it. Kinds
+are found independently, so a key in PEM armour is listed as pem and as der64.
 
 Defined results: a null text is empty and has no spans; rows are scanned one by one, so
 repeated rows repeat their result and a null doc_id stays null; other columns pass through
@@ -27,9 +31,22 @@ from .common import map_rows
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 HEX = re.compile(r"[0-9a-f]{24,}")
+HEADER = re.compile(r"eyJ[A-Za-z0-9_-]+\.")
 SIGNED = re.compile(r"eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+(?:\.[A-Za-z0-9_-]*)+")
-PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]*PRIVATE KEY)-----([A-Za-z0-9+/=\s\\]*)-----END \1-----")
+PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]*PRIVATE KEY)-----((?:(?!-----)[\s\S])*)-----END \1-----")
+PEM_HEADERS = re.compile(r"\s*(?:[A-Za-z][A-Za-z0-9-]*:[^\n]*(?:\n|\Z)\s*)+")
 BASE64 = re.compile(r"[A-Za-z0-9+/_-]{40,}={0,2}")
+LEAST = 40  # base64 characters of a key
+#: What may part the characters of one key: white space, escaped line breaks, the backslash of \/ and of a continued line.
+_GAP = r"(?:\\+[rn]|\\+(?=[/\r\n])|\s)"
+GAP = re.compile(f"{_GAP}+")
+PADDING = re.compile(f"(?:{_GAP}*=){{1,2}}")
+CLASS64, CLASS16 = re.compile(r"[A-Za-z0-9+/_-]+"), re.compile(r"[0-9A-Fa-f]+")
+#: 0x30 0x8x, 0x30 short, and "openssh-key-v1" begin with M[A-I] or b3Bl in base64.
+START64, START16 = re.compile(f"M{_GAP}*[A-I]|b{_GAP}*3{_GAP}*B{_GAP}*l"), re.compile(f"3{_GAP}*0")
+MAGIC = b"openssh-key-v1\0"
+#: Encryption schemes of PKCS 5 and PKCS 12.
+SCHEMES = (bytes.fromhex("2a864886f70d0105"), bytes.fromhex("2a864886f70d010c01"))
 #: In the order in which spans that start together are listed; the first three are the base kinds.
 KINDS = ("assign", "access", "hex", "signed", "pem", "der64", "derhex")
 
@@ -59,17 +76,123 @@ def _der(data: bytes, depth: int = 0) -> list[tuple[int, int]] | None:
     return out
 
 
+def _content(data: bytes) -> bytes:
+    """What the first element of checked DER holds."""
+    n = data[1]
+    at = 2 + (n & 127 if n >= 128 else 0)
+    return data[at : at + (n if n < 128 else int.from_bytes(data[2:at], "big"))]
+
+
 def is_key(data: bytes) -> bool:
-    """A private key: OpenSSH's format, or one DER SEQUENCE that begins with a version INTEGER."""
-    if data.startswith(b"openssh-key-v1\0"):
+    """A private key: OpenSSH's format, or one DER SEQUENCE that begins with a version INTEGER or is an EncryptedPrivateKeyInfo."""
+    if data.startswith(MAGIC):
         return True
     if len(data) < 16 or data[0] != 0x30:
         return False
     outer = _der(data)
     if not outer or len(outer) != 1:
         return False
-    inner = _der(data[-outer[0][1] :], 1)
-    return bool(inner) and len(inner) >= 2 and inner[0][0] == 0x02 and inner[0][1] <= 2
+    body = _content(data)
+    inner = _der(body, 1)
+    if not inner or len(inner) < 2:
+        return False
+    if [tag for tag, _ in inner] == [0x30, 0x04]:  # an algorithm and the encrypted key
+        scheme = _content(body)
+        return scheme[:1] == b"\x06" and _content(scheme).startswith(SCHEMES)
+    return inner[0][0] == 0x02 and inner[0][1] <= 2
+
+
+def _der_size(head: bytes) -> int | None:
+    """How many bytes the key that begins with these nine has, None if none can."""
+    n, at = head[1], 2
+    if n >= 128:
+        k = n & 127
+        if not 1 <= k <= 4:
+            return None
+        n, at = int.from_bytes(head[2 : 2 + k], "big"), 2 + k
+    fits = head[0] == 0x30 and (head[at] == 0x02 and head[at + 1] <= 2 or head[at] == 0x30)
+    return at + n if fits else None
+
+
+def _openssh_size(data: bytes) -> int:
+    """Bytes of the OpenSSH key that begins with data, or more than data has, where it says no further."""
+    at, left, counted = len(MAGIC), 3, False
+    while left or not counted:
+        if at + 4 > len(data):
+            return at + 4
+        n = int.from_bytes(data[at : at + 4], "big")
+        at += 4
+        if left:
+            at, left = at + n, left - 1
+        else:
+            left, counted = n + 1, True  # public keys, and the private part
+    return at
+
+
+def _taken(text: str, at: int, want: int, kind: re.Pattern) -> tuple[str, int] | None:
+    """The next `want` characters of the class, over gaps, and where they end; None if there are fewer."""
+    out = []
+    while want:
+        if m := kind.match(text, at):
+            out.append(m[0][:want])
+            want -= len(out[-1])
+            at += len(out[-1])
+        elif g := GAP.match(text, at):
+            at = g.end()
+        else:
+            return None
+    return "".join(out), at
+
+
+def _keys(text: str, start: re.Pattern, kind: re.Pattern, chars, decode, least: int = 0) -> list[tuple[int, int]]:
+    """Spans of the keys of `least` characters or more in text; chars(n): how many characters n bytes take."""
+
+    def bytes_at(at: int, n: int) -> tuple[bytes, int] | None:
+        got = _taken(text, at, chars(n), kind)
+        data = decode(got[0]) if got else None
+        return (data[:n], got[1]) if data is not None else None
+
+    out, end = [], 0
+    for m in start.finditer(text):
+        at = m.start()
+        if at < end or not (got := bytes_at(at, 9)):
+            continue
+        if got[0][0] == 0x30:
+            size = _der_size(got[0])
+            got = bytes_at(at, size) if size and len(text) - at >= chars(size) else None
+        elif MAGIC.startswith(got[0]):
+            size = len(MAGIC)
+            while size <= len(text) and (got := bytes_at(at, size)) and got[0].startswith(MAGIC) and (more := _openssh_size(got[0])) > size:
+                size, got = more, None
+        else:
+            got = None
+        if got and chars(len(got[0])) >= least and is_key(got[0]):
+            end = got[1]
+            out.append((at, end))
+    return out
+
+
+def _in_base64(text: str) -> list[tuple[int, int]]:
+    out = []
+    for a, b in _keys(text, START64, CLASS64, lambda n: -(-n * 4 // 3), _b64, LEAST):
+        pad = PADDING.match(text, b)
+        out.append((a, pad.end() if pad else b))
+    if "b3Bl" in text:  # a run that begins as an OpenSSH key and is not laid out as one
+        for m in BASE64.finditer(text):
+            if m[0].startswith("b3Bl") and not any(a <= m.start() < b for a, b in out) and (_b64(m[0]) or b"").startswith(MAGIC):
+                out.append(m.span())
+    return out
+
+
+def _in_pem(body: str) -> bool:
+    body = re.sub(r"\\+r", "", re.sub(r"\\+n", "\n", body)).replace("\\/", "/")
+    headers = PEM_HEADERS.match(body)
+    data = _b64(re.sub(r"\s", "", body[headers.end() :] if headers else body))
+    if not data:
+        return False
+    if headers and re.search(r"Proc-Type:\s*4,\s*ENCRYPTED", headers[0]) and "DEK-Info:" in headers[0]:
+        return len(data) % 8 == 0  # whole cipher blocks
+    return is_key(data)
 
 
 def _b64(text: str) -> bytes | None:
@@ -88,6 +211,18 @@ def is_signed(token: str) -> bool:
     return isinstance(header, dict) and isinstance(header.get("alg"), str)
 
 
+def _signed(text: str) -> list[tuple[int, int]]:
+    """Tokens whose header parses, from every place that can begin one."""
+    out, at = [], text.find("eyJ")
+    while at >= 0:
+        m = HEADER.match(text, at)
+        token = SIGNED.match(text, at) if m and is_signed(m[0]) else None
+        if token:
+            out.append(token.span())
+        at = text.find("eyJ", token.end() if token else at + 3)
+    return out
+
+
 def spans(text: str | None) -> list[tuple[int, int, str]]:
     """(start, index in KINDS, end), sorted."""
     if not text:
@@ -95,24 +230,15 @@ def spans(text: str | None) -> list[tuple[int, int, str]]:
     out = [(m.start(), 0, m.end()) for m in ASSIGN.finditer(text) if m.end(2) - m.start(2) >= 6]
     if "AKIA" in text:
         out += [(m.start(), 1, m.end()) for m in ACCESS.finditer(text)]
-    runs = [m.span() for m in HEX.finditer(text)]
-    out += [(a, 2, b) for a, b in runs]
+    out += [(m.start(), 2, m.end()) for m in HEX.finditer(text)]
     if "eyJ" in text:
-        out += [(m.start(), 3, m.end()) for m in SIGNED.finditer(text) if is_signed(m[0])]
+        out += [(a, 3, b) for a, b in _signed(text)]
     if "-----BEGIN" in text:
         for m in PEM.finditer(text):
-            body = _b64(re.sub(r"\\n|\s", "", m[2]))
-            if body is not None and is_key(body):
+            if _in_pem(m[2]):
                 out.append((m.start(), 4, m.end()))
-    for m in BASE64.finditer(text):
-        # 0x30 0x8x, 0x30 short, and "openssh-key-v1" begin with M or b3Bl in base64.
-        if m[0][0] == "M" or m[0].startswith("b3Bl"):
-            data = _b64(m[0])
-            if data is not None and is_key(data):
-                out.append((m.start(), 5, m.end()))
-    for a, b in runs:
-        if text.startswith("30", a) and (b - a) % 2 == 0 and is_key(bytes.fromhex(text[a:b])):
-            out.append((a, 6, b))
+    out += [(a, 5, b) for a, b in _in_base64(text)]
+    out += [(a, 6, b) for a, b in _keys(text, START16, CLASS16, lambda n: 2 * n, bytes.fromhex)]
     return sorted(out)
 
 

@@ -153,3 +153,60 @@ def test_pipeline_drops_edited_copies(spark, tmp_path):
     table = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in docs], "doc_id long, text string, lang string, source string, n_chars long")
     kept = corpus_pipeline.near_duplicates(spark, table, str(tmp_path)).collect()
     assert {r.doc_id for r in kept} == {10 * g for g in range(12)}
+
+
+def found(text, kind):
+    return [text[a:b] for a, k, b in secret_scan.spans(text) if secret_scan.KINDS[k] == kind]
+
+
+def lines(key, width, gap):
+    return gap.join(key[i : i + width] for i in range(0, len(key), width))
+
+
+@pytest.mark.parametrize("gap", ["\n", "\r\n", "\n    ", "\\n", "\\r\\n", " "])
+@pytest.mark.parametrize("width", [64, 76])
+def test_keys_over_line_breaks(gap, width):
+    key = lines(base64.b64encode(KEY).decode(), width, gap)
+    for text in (f"key: |\n    {key}\nnext: value", f'{{"key": "{key}"}}', f"x/{key}\nand more words"):
+        assert found(text, "der64") == [key] and key[:30] not in secret_scan.redacted(text) and key[-30:] not in secret_scan.redacted(text)
+    run = lines(KEY.hex().upper(), width, gap)
+    assert found(f"k = {run}\nrest", "derhex") == [run]
+
+
+def openssh(*parts):
+    text = lambda b: len(b).to_bytes(4, "big") + b
+    return b"openssh-key-v1\0" + b"".join(text(p) for p in parts[:3]) + (1).to_bytes(4, "big") + text(parts[3]) + text(parts[4])
+
+
+def test_keys_inside_a_run():
+    key = base64.b64encode(KEY).decode()
+    for before in ("key/", "priv-", "k", "AM", "MII", "0MIIE"):
+        assert found(f"see {before}{key} end", "der64") == [key]
+    assert found(f"{key.rstrip('=')}-tail", "der64") == [key.rstrip("=")] and found(f"{key[:-8]}-", "der64") == []
+    for text in (KEY.hex(), KEY.hex().upper(), KEY.hex().title(), "3" + KEY.hex(), "0a1" + KEY.hex() + "ff"):
+        assert len(found(text, "derhex")) == 1
+    assert found(KEY.hex().upper()[:-2], "derhex") == []
+    ssh = base64.b64encode(openssh(b"none", b"none", b"", b"\1" * 51, b"\2" * 136)).decode()
+    for wrapped in (ssh, lines(ssh, 70, "\n")):
+        assert found(f"id/{wrapped}\nwords after it", "der64") == [wrapped]
+
+
+def test_encrypted_keys():
+    scheme = lambda oid: der(0x30, der(6, bytes.fromhex(oid)) + der(0x30, der(4, b"saltsalt") + der(2, b"\x08\0")))
+    locked = der(0x30, scheme("2a864886f70d01050d") + der(4, b"\7" * 96))
+    digest = der(0x30, der(0x30, der(6, bytes.fromhex("608648016503040201")) + der(5, b"")) + der(4, b"\7" * 32))  # a signature's, no key
+    body = base64.b64encode(locked).decode()
+    pem = lambda kind, body: f"-----BEGIN {kind}-----\n{body}\n-----END {kind}-----"
+    assert found(body, "der64") == [body] and found(base64.b64encode(digest).decode(), "der64") == []
+    for text in (pem("ENCRYPTED PRIVATE KEY", lines(body, 64, "\n")), pem("ENCRYPTED PRIVATE KEY", lines(body, 64, "\n")).replace("\n", "\\n")):
+        assert found(text, "pem") == [text]
+    head = "Proc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,0123456789ABCDEF0123456789ABCDEF\n\n"
+    cipher = lines(base64.b64encode(bytes(range(96))).decode(), 64, "\n")
+    for text in (pem("RSA PRIVATE KEY", head + cipher), pem("RSA PRIVATE KEY", head + cipher).replace("\n", "\r\n"), pem("RSA PRIVATE KEY", head + cipher).replace("\n", "\\n")):
+        assert found(text, "pem") == [text]
+    assert found(pem("RSA PRIVATE KEY", cipher), "pem") == found(pem("RSA PRIVATE KEY", head + cipher[:-3]), "pem") == []
+
+
+def test_token_after_a_failed_one(token):
+    for before in ("eyJub3BlIjoxfQ.", "eyJub3BlIjoxfQ.eyJhIjoxfQ.", "eyJ.", "eyJx"):
+        assert found(f"{before}{token} end", "signed") == [token]
