@@ -8,7 +8,8 @@ blocked too. An explicit allow wins: it holds for its page whatever the class, a
 class's other members from inheriting a block.
 
 Urls are nodes by scheme-less host and path, without a fragment; the query stays, as
-it may name another page. A redirect's target is judged by the rules though it may be no page.
+it may name another page. Links lose their character references and are resolved against
+their page's url. A redirect's target is judged by the rules though it may be no page.
 
 Defined results: a null url, or one without "://", has an empty host and path, fits no rule,
 has no edges and is allowed; rows are judged one by one (repeated rows and null ids kept);
@@ -18,6 +19,10 @@ with the pages and stay distributed; the rules are a parameter, applied as one e
 
 from __future__ import annotations
 
+import html as references
+import re
+from urllib.parse import urljoin
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -61,11 +66,22 @@ def node(url: Column) -> Column:
 
 
 def targets(html: Column) -> Column:
-    """Absolute urls that a page names as itself: canonical links and refresh redirects."""
+    """What a page names as itself, as written: canonical links and refresh redirects."""
     tags = F.regexp_extract_all(html, F.lit(r"(?is)(<(?:link|meta)\b[^>]*>)"), 1)
     canonical = F.transform(F.filter(tags, lambda t: t.rlike(r"(?is)\brel\s*=\s*[\"']?canonical\b")), lambda t: F.regexp_extract(t, r"(?is)\bhref\s*=\s*[\"']?([^\"'\s>]+)", 1))
     refresh = F.transform(F.filter(tags, lambda t: t.rlike(r"(?is)\bhttp-equiv\s*=\s*[\"']?refresh\b")), lambda t: F.regexp_extract(t, r"(?is)\burl\s*=\s*[\"']?([^\"'\s>]+)", 1))
-    return F.filter(F.concat(canonical, refresh), lambda u: u.contains("://"))
+    return F.filter(F.concat(canonical, refresh), lambda u: u != "")
+
+
+def resolved(url: str, target: str) -> str | None:
+    """The absolute url that a page at `url` means by an attribute's value; None if it is none."""
+    target = references.unescape(target).strip()
+    if not re.match(r"[A-Za-z][A-Za-z0-9+.-]*://", target):
+        try:  # nodes have no scheme, so any that joins will do
+            target = urljoin("http://" + url.split("://", 1)[1], target)
+        except ValueError:  # brackets that are no address
+            return None
+    return target if "://" in target else None
 
 
 def judge(pages: DataFrame, ws: Workspace, rules: tuple[tuple[str, str, str], ...] = RULES) -> DataFrame:
@@ -76,7 +92,8 @@ def judge(pages: DataFrame, ws: Workspace, rules: tuple[tuple[str, str, str], ..
     )  # html is read once
     own = named.select("page_id", "url", host(url).alias("host"), path(url).alias("path"), F.when(url.contains("://"), F.xxhash64(node(url))).alias("at"))
     own = own.withColumn("m", matched(F.col("host"), F.col("path"), rules))
-    edges = named.where(url.contains("://")).select(url, F.explode("to").alias("target"))
+    edges = named.where(url.contains("://")).select(url, F.explode("to").alias("written"))
+    edges = edges.select(url, F.udf(resolved, "string")("url", "written").alias("target")).where("target is not null")
     ends = ws.write(edges.select(F.xxhash64(node(url)).alias("a"), F.xxhash64(node(F.col("target"))).alias("b"), F.col("url").alias("from"), "target").where("a <> b"), "edges")
     plain = own.select("page_id", "host", "path", F.col("m.rule").alias("rule"), F.col("m.verdict").alias("own"), "at")
     if ends.isEmpty():

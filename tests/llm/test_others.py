@@ -210,3 +210,18 @@ def test_encrypted_keys():
 def test_token_after_a_failed_one(token):
     for before in ("eyJub3BlIjoxfQ.", "eyJub3BlIjoxfQ.eyJhIjoxfQ.", "eyJ.", "eyJx"):
         assert found(f"{before}{token} end", "signed") == [token]
+
+
+def test_relative_and_escaped_links(spark, ws):
+    page = '<link rel="canonical" href="{}">'
+    move = "<meta http-equiv=refresh content='0; url={}'>"
+    blocked, rows = "http://a.com/en/1?page=2&ref=x", []
+    for i, (url, html) in enumerate([
+        ("http://a.com/alias", page.format("/en/1?page=2&amp;ref=x")), ("https://b.zz/alias", move.format("//a.com/en/1?page=2&#38;ref=x")), ("http://a.com/de/y", page.format("../en/1?page=2&#x26;ref=x#top")),
+        ("http://c.zz/y", page.format("http://a.com/en/1?page=2&amp;ref=x")), ("http://a.com/alias?q", page.format("?")), ("http://d.zz/dir/z", page.format("mailto:x@a.com")), ("http://d.zz/dir/w", page.format("z")),
+        ("http://e.zz/x", page.format("http://[/en/")), ("http://e.zz/y", page.format("//[/en/")), ("http://f.zz/s/t", move.format("u?v=http://a.com/en/1")),
+    ]):
+        rows.append((i, url, html))
+    docs = spark.createDataFrame([*rows, (99, blocked, None)], "page_id long, url string, html string")
+    verdicts = {r.page_id: r.verdict for r in url_filter.judge(docs, ws).collect()}
+    assert {i for i, v in verdicts.items() if v == "block"} == {0, 1, 2, 3, 99}
