@@ -53,10 +53,10 @@ def provenance_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def why_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lines of the proof that a nation belongs to a region's group."""
+    """Lines of the proofs that nations belong to their regions' groups, one for each nation."""
     engine = engine_over(spark, sf_dir, ["region", "nation"])
     engine.execute("+within(N, P) <- nation(N, _, R), region(R, P)")
-    proofs = engine.execute(".why ?within(3, P)")[0]
+    proofs = engine.execute(".why ?within(N, P)")[0]
     lines = [(i, line) for i, line in enumerate(x for p in proofs for x in p.lines())]
     return spark.createDataFrame(lines, "line bigint, text string")
 

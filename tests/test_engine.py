@@ -221,3 +221,10 @@ def test_closure_patterns():
         edges = {(rng.randrange(n), rng.randrange(n)) for _ in range(m)}
         nodes, a, b = fast(edges)
         assert {(nodes[i], nodes[j]) for i, j in zip(a, b)} == closure(edges)
+
+
+def test_why_proves_every_answer(engine):
+    engine.execute("+e[" + ", ".join(f"({i},)" for i in range(103)) + "]")
+    assert len(engine.execute(".why ?e(X)")[0]) == 103
+    engine.execute("+n(count<X>) <- e(X), X < 15")
+    assert len(engine.execute(".why full ?n(N)")[0][0].children) == 15
