@@ -3,7 +3,7 @@
 import random
 
 import pytest
-from conftest import rows
+from row_sets import rows
 
 from rulespan.engine import Engine
 from rulespan.errors import RuleError

@@ -1,7 +1,7 @@
 import math
 
 import pytest
-from conftest import rows
+from row_sets import rows
 from pyspark.sql import functions as F
 
 from rulespan.functions.registry import REGISTRY

@@ -1,5 +1,5 @@
 import pyarrow as pa
-from conftest import rows
+from row_sets import rows
 
 from rulespan.engine import Engine
 from rulespan.sources.changes import ChangeTable, consolidate
