@@ -3,7 +3,7 @@
 Lengths are integers up to the capacity, so the histogram of lengths has at most `capacity`
 rows whatever the corpus; the plan is made from it on the driver and the pieces never are.
 
-1. Large lengths (over capacity / 8) are dealt into groups of equal cardinality and rounded
+1. Large lengths (over capacity / SMALL) are dealt into groups of equal cardinality and rounded
    up to their group's longest.
 2. Configurations (multisets of rounded lengths that fit a sequence) are optimised by column
    generation: a simplex over the groups, priced by a knapsack over the capacity.
@@ -13,7 +13,8 @@ rows whatever the corpus; the plan is made from it on the driver and the pieces
 
 A plan row says that pieces number lo..lo+n-1 of a length go to n consecutive sequences at
 one offset. Pieces get that number from their task, their place in it, and a running sum of
-counts over tasks, so no length gathers in one task.
+counts over tasks, so no length gathers in one task. Those sums are shuffled to the pieces by
+(task, length): there is a row for each such pair, too many to broadcast.
 
 Defined results: a null or empty text is one end-of-document id. Rows are packed one by one
 (repeated rows twice, null ids kept); other columns are ignored; an empty table gives none.
@@ -181,14 +182,14 @@ def plan(histogram: dict[int, int], capacity: int = CAPACITY, groups: int = GROU
 
 def pieces(docs: DataFrame, tokenizer: str = TOKENIZER, capacity: int = CAPACITY, end: int = END) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32, task, nth): nth counts the task's earlier pieces of that length."""
-    tail = end.to_bytes(4, "little")
+    tail, kind = end.to_bytes(4, "little"), docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: dict[int, int] = defaultdict(int)
         task, encoder, size = TaskContext.get().partitionId(), chunks(tokenizer), 4 * capacity
         names = ["doc_id", "piece", "start", "length", "ids_crc32", "task", "nth"]
-        kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64()]
         for whole in batches:
+            kinds = [whole.column(0).type, pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64()]
             for at in range(0, whole.num_rows, 256):
                 b, out = whole.slice(at, 256), []
                 for doc, data in zip(b.column(0).to_pylist(), encoder.ids(b.column(1).to_pylist())):
@@ -200,7 +201,7 @@ def pieces(docs: DataFrame, tokenizer: str = TOKENIZER, capacity: int = CAPACITY
                         seen[n] += 1
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], names)
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint, task int, nth bigint")
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, piece int, start bigint, length bigint, ids_crc32 bigint, task int, nth bigint")
 
 
 def pack(docs: DataFrame, ws: Workspace, tokenizer: str = TOKENIZER, capacity: int = CAPACITY, groups: int = GROUPS) -> DataFrame:
@@ -221,5 +222,5 @@ def pack(docs: DataFrame, ws: Workspace, tokenizer: str = TOKENIZER, capacity: i
             sequence, offset = rows[at, 3] + rank - rows[at, 1], rows[at, 4]
             yield pa.RecordBatch.from_arrays([*b.columns[:5], pa.array(sequence), pa.array(offset)], ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"])
 
-    numbered = made.join(counts.drop("n"), ["task", "length"]).select("doc_id", "piece", "start", "length", "ids_crc32", "nth", "base")
-    return numbered.mapInArrow(place, "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint, sequence_id bigint, offset bigint")
+    numbered = made.join(counts.drop("n").hint("merge"), ["task", "length"]).select("doc_id", "piece", "start", "length", "ids_crc32", "nth", "base")
+    return numbered.mapInArrow(place, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, piece int, start bigint, length bigint, ids_crc32 bigint, sequence_id bigint, offset bigint")

@@ -23,15 +23,22 @@ def plain(text):
     return PLAIN.encode(text, add_special_tokens=False).ids
 
 
+@pytest.mark.parametrize("form", ["%s", "x%s", "%sx", "a%s, b", "a %s. b", "a%s.", "A%s,", "a,%s b", "a%s'S b", "\u00e9%s, B", "a%s%s. b"])
+def test_ids_of_every_low_character(form):
+    for i in range(0x250):
+        text = form.replace("%s", chr(i))
+        assert array("I", chunks().ids([text])[0]).tolist() == plain(text), repr(text)
+
+
 @settings(max_examples=300, deadline=None)
 @given(st.text(max_size=80) | st.text(alphabet="aBé'.,_-1 \n\t<|>%ßİΣẞ́ ", max_size=60) | st.sampled_from(["<|endoftext|> Hello<|startoftext|>.", "a.b, c.\nd%%%. e_. f,, g", "don't I'LL 'S"]))
 def test_ids_equal_the_library(text):
     assert array("I", chunks().ids([text])[0]).tolist() == plain(text)
 
 
-def test_ids_after_the_cache_is_emptied(monkeypatch):
+def test_ids_after_the_cache_is_trimmed(monkeypatch):
     c = chunks()
-    monkeypatch.setattr(c, "limit", 3)
+    monkeypatch.setattr(c, "limit", 900)
     for text in ("One two, three. FOUR five", "six seven. eight", "one TWO nine"):
         assert array("I", c.ids([text, None, ""])[0]).tolist() == plain(text)
 
