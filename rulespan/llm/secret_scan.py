@@ -31,9 +31,12 @@ from .common import map_rows
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 HEX = re.compile(r"[0-9a-f]{24,}")
-HEADER = re.compile(r"eyJ[A-Za-z0-9_-]+\.")
-SIGNED = re.compile(r"eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+(?:\.[A-Za-z0-9_-]*)+")
-PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]*PRIVATE KEY)-----((?:(?!-----)[\s\S])*)-----END \1-----")
+#: A whole run of token characters before a dot, and what must follow that dot.
+SEGMENT = re.compile(r"[A-Za-z0-9_-]++(?=\.)")
+FOLLOWING = re.compile(r"\.[A-Za-z0-9_-]+(?:\.[A-Za-z0-9_-]*)+")
+JSON_MARK = re.compile(rb'"(?:[^"\\]|\\.)*+"|[{}\[\]]', re.S)
+DEPTH = 16  # levels of a token's header or of a key's encoding; what nests deeper is neither
+BEGIN = re.compile(r"-----BEGIN ([A-Z0-9 ]*PRIVATE KEY)-----")
 PEM_HEADERS = re.compile(r"\s*(?:[A-Za-z][A-Za-z0-9-]*:[^\n]*(?:\n|\Z)\s*)+")
 BASE64 = re.compile(r"[A-Za-z0-9+/_-]{40,}={0,2}")
 LEAST = 40  # base64 characters of a key
@@ -69,7 +72,7 @@ def _der(data: bytes, depth: int = 0) -> list[tuple[int, int]] | None:
             at += k
         if at + n > len(data):
             return None
-        if tag & 32 and (depth > 16 or _der(data[at : at + n], depth + 1) is None):
+        if tag & 32 and (depth > DEPTH or _der(data[at : at + n], depth + 1) is None):
             return None
         out.append((tag, n))
         at += n
@@ -203,23 +206,66 @@ def _b64(text: str) -> bytes | None:
         return None
 
 
-def is_signed(token: str) -> bool:
+def _header_end(data: bytes, at: int) -> int | None:
+    """Where the JSON object that begins at data[at] closes; None if it doesn't or nests too deep."""
+    depth = 0
+    for m in JSON_MARK.finditer(data, at):
+        if (c := m[0]) in b"{[":
+            depth += 1
+            if depth > DEPTH:
+                return None
+        elif c in b"}]":
+            depth -= 1
+            if not depth:
+                return m.end()
+    return None
+
+
+def is_header(data: bytes, at: int = 0) -> bool:
+    """data[at:] is a JSON object that names an algorithm."""
+    end = _header_end(data, at)
+    if end is None or data[end:].strip(b" \t\r\n"):
+        return False
     try:
-        header = json.loads(_b64(token.split(".", 1)[0]) or b"")
-    except ValueError:
+        header = json.loads(data[at:])
+    except (ValueError, RecursionError):
         return False
     return isinstance(header, dict) and isinstance(header.get("alg"), str)
 
 
 def _signed(text: str) -> list[tuple[int, int]]:
-    """Tokens whose header parses, from every place that can begin one."""
+    """Tokens whose header parses, from every place that can begin one.
+
+    A run of token characters is decoded once for each of four alignments. A start is given
+    up where its JSON closes early or nests too deep, so a run of starts costs its length.
+    """
     out, at = [], text.find("eyJ")
-    while at >= 0:
-        m = HEADER.match(text, at)
-        token = SIGNED.match(text, at) if m and is_signed(m[0]) else None
-        if token:
-            out.append(token.span())
-        at = text.find("eyJ", token.end() if token else at + 3)
+    while at >= 0 and (m := SEGMENT.search(text, at)):
+        run, first, found = m[0], m.start(), None
+        if run.find("eyJ") >= 0 and (after := FOLLOWING.match(text, m.end())):
+            decoded: dict[int, bytes | None] = {}
+            k = run.find("eyJ")
+            while k >= 0 and not found:
+                c = k % 4
+                if c not in decoded:
+                    decoded[c] = _b64(run[c:])
+                if (data := decoded[c]) and is_header(data, (k - c) // 4 * 3):
+                    found = first + k, after.end()
+                k = run.find("eyJ", k + 3)
+        if found:
+            out.append(found)
+        at = text.find("eyJ", found[1] if found else m.end())
+    return out
+
+
+def _pems(text: str) -> list[tuple[int, int]]:
+    """Private keys in armour; a block ends at the next dashes or is none."""
+    out, at = [], 0
+    while m := BEGIN.search(text, at):
+        at, dashes = m.end(), text.find("-----", m.end())
+        if dashes >= 0 and text.startswith(close := f"-----END {m[1]}-----", dashes) and _in_pem(text[m.end() : dashes]):
+            at = dashes + len(close)
+            out.append((m.start(), at))
     return out
 
 
@@ -234,9 +280,7 @@ def spans(text: str | None) -> list[tuple[int, int, str]]:
     if "eyJ" in text:
         out += [(a, 3, b) for a, b in _signed(text)]
     if "-----BEGIN" in text:
-        for m in PEM.finditer(text):
-            if _in_pem(m[2]):
-                out.append((m.start(), 4, m.end()))
+        out += [(a, 4, b) for a, b in _pems(text)]
     out += [(a, 5, b) for a, b in _in_base64(text)]
     out += [(a, 6, b) for a, b in _keys(text, START16, CLASS16, lambda n: 2 * n, bytes.fromhex)]
     return sorted(out)
