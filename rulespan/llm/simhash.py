@@ -118,17 +118,8 @@ def _near(fp: np.ndarray, table: np.ndarray, group: np.ndarray) -> tuple[np.ndar
     return moved, label[moved]
 
 
-def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (key, tile, fp, pivots), sorted by (key, tile), to edges (a, b) of fingerprints."""
-
-    def edges(t: pa.Table) -> pa.RecordBatch:
-        fp = t["fp"].to_numpy().view(np.uint64)
-        table = t["pivots"].to_numpy().view(np.uint8).reshape(-1, PIVOTS)
-        key, tile = t["key"].to_numpy(), t["tile"].to_numpy()
-        group = np.cumsum(np.concatenate([[0], (key[1:] != key[:-1]) | (tile[1:] != tile[:-1])]))
-        a, b = _near(fp, table, group)
-        return pa.RecordBatch.from_arrays([pa.array(fp[a].view(np.int64)), pa.array(fp[b].view(np.int64))], ["a", "b"])
-
+def whole_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Rows sorted by (key, tile) in tables that end with a group."""
     held: pa.Table | None = None
     for batch in batches:
         held = pa.concat_tables([held, pa.Table.from_batches([batch])]).combine_chunks() if held is not None else pa.Table.from_batches([batch])
@@ -138,10 +129,24 @@ def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cut = np.flatnonzero((key[1:] != key[:-1]) | (tile[1:] != tile[:-1]))
         if len(cut):  # the last group may go on in the next batch
             at = int(cut[-1]) + 1
-            yield edges(held.slice(0, at).combine_chunks())
+            yield held.slice(0, at).combine_chunks()
             held = held.slice(at)
     if held is not None and held.num_rows:
-        yield edges(held.combine_chunks())
+        yield held.combine_chunks()
+
+
+def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (key, tile, fp, pivots), sorted by (key, tile), to edges (a, b) of fingerprints."""
+
+    def edges(t: pa.Table) -> pa.RecordBatch:
+        fp = t["fp"].to_numpy().view(np.uint64)
+        table = t["pivots"].to_numpy().view(np.uint8).reshape(-1, PIVOTS)
+        key, tile = t["key"].to_numpy(), t["tile"].to_numpy()
+        group = np.cumsum(np.concatenate([[0], (key[1:] != key[:-1]) | (tile[1:] != tile[:-1])]))
+        a, b = _near(fp, table, group)
+        return pa.RecordBatch.from_arrays([pa.array(fp[a].view(np.int64)), pa.array(fp[b].view(np.int64))], ["a", "b"])
+
+    yield from map(edges, whole_groups(batches))
 
 
 def _block(i: int):
