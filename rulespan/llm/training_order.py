@@ -1,20 +1,22 @@
-"""Training order: a keyed Feistel permutation orders every sequence, shards hold the order.
-
-Texts are tokenized, closed by an end id, joined in scan order within a task and cut into
-records of `length` 16-bit ids; a task's last record is filled up with end ids. Record i of
-task t has the number i * tasks + t. Its place is permutation(number) over [0, tasks * SPAN):
-a balanced Feistel network over the least even number of bits that holds the domain, walked
-on (permuted again) while the value is outside. Keyed by `key`, it needs no table, no count
-beforehand and no sort of random numbers, and inverts.
-
-Places are uniform, so ranges are known without sampling: a record goes straight to the
-partition of its range, is sorted there, and a task streams each range to shard files of
-`per_shard` records of exactly 2 * length bytes (a range's last file may be shorter). Reads
-are sequential and resume anywhere without an index inside a file. A file appears whole or
-not at all. The global slot of a record is its rank: its index in its range plus the records
-of earlier ranges, one number a range.
-
-Tokens are made once and cross the network once.
+"""Training order: a keyed Feistel permutation gives every sequence its global slot.
+
+Texts are tokenized once, closed by an end id, joined in scan order within a task and cut into
+records of `length` 16-bit ids, which go to a table; a task's last record is filled up with
+end ids. Counting that table numbers the records: record `nth` of task t has the number
+(records of earlier tasks) + nth, of N in all. Its slot is permute(number, N): a balanced
+Feistel network over the least even number of bits that holds [0, N), walked on (permuted
+again) while the value is outside. Keyed by `key`, it needs no table and no sort of random
+numbers, and permute(slot, N, inverse=True) gives the number back.
+
+Shard k holds the slots from k * per_shard on, each of 2 * length bytes, so a slot's file and
+offset follow from the slot alone and reads are sequential and resume anywhere; only the last
+shard may be shorter. A partition of the order is a run of whole shards: as many partitions as
+shards, PARTITIONS at most. A file appears whole or not at all. Records are compressed one by
+one on their way through the shuffle. Each task's first number is sent with the tasks, eight
+bytes an input split.
+
+Where records are cut depends on the input splits; the table of records fixes it before
+anything is numbered, so lost executors and retries change nothing.
 
 Defined results: null and empty texts are one end id; repeated rows are repeated; other
 columns are ignored; an empty table gives no shards and no rows.
@@ -25,9 +27,11 @@ from __future__ import annotations
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -38,7 +42,8 @@ from .flat import Writer
 TOKENIZER, END = "byte_bpe_multi_50k.tiktoken", 50256
 LENGTH, PER_SHARD, KEY = 1024, 4096, 20_240_501
 ROUNDS = 6
-SPAN = 1 << 36  # records that one scan task may make
+PARTITIONS = 50_000  # of the order, at most
+CUT = 512  # records that a batch holds
 
 
 def _mix(x: np.ndarray, key: int) -> np.ndarray:
@@ -107,43 +112,56 @@ def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[str | None]:
             yield from whole.column(0).slice(at, 256).to_pylist()
 
 
-def materialise(docs: DataFrame, ws: Workspace, tokenizer: str = TOKENIZER, end: int = END, length: int = LENGTH, per_shard: int = PER_SHARD, key: int = KEY, ranges: int | None = None) -> DataFrame:
+def materialise(docs: DataFrame, ws: Workspace, tokenizer: str = TOKENIZER, end: int = END, length: int = LENGTH, per_shard: int = PER_SHARD, key: int = KEY, partitions: int = PARTITIONS) -> DataFrame:
     """Writes shards under the workspace; one row a sequence: slot, shard (file), byte_offset, task, nth, ids_crc32.
 
-    ranges: partitions of the order, by default four an input split. The shards stay until their folder is deleted.
+    partitions: of the order at most. The shards stay until their folder is deleted.
     """
-    texts, folder = docs.select("text"), f"{ws.root}/shards"
-    tasks = texts.rdd.getNumPartitions()
-    domain = max(tasks, 1) * SPAN
-    parts = ranges or max(1, 4 * tasks)
+    folder, stride = f"{ws.root}/shards", 2 * length
 
-    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task, nth = TaskContext.get().partitionId(), 0
-        stream, names = records(_texts(batches), tokenizer, end, length), ["place", "range", "task", "nth", "ids"]
-        while some := [x for _, x in zip(range(512), stream)]:
-            places = permute(np.arange(nth, nth + len(some)) * tasks + task, domain, key)
-            yield pa.RecordBatch.from_arrays([pa.array(places), pa.array((places // -(-domain // parts)).astype(np.int32)), pa.array([task] * len(some), pa.int32()), pa.array(range(nth, nth + len(some)), pa.int64()), pa.array(some, pa.binary())], names)
+        stream = records(_texts(batches), tokenizer, end, length)
+        while some := list(islice(stream, CUT)):
+            yield pa.RecordBatch.from_arrays([pa.array([task] * len(some), pa.int32()), pa.array(range(nth, nth + len(some)), pa.int64()), pa.array(some, pa.binary())], ["task", "nth", "ids"])
             nth += len(some)
 
+    made = ws.write(docs.select("text").mapInArrow(cut, "task int, nth bigint, ids binary"), "records", compression="zstd")
+    counts = sorted(made.groupBy("task").agg(F.count("*").alias("n")).collect())  # one row an input split
+    tasks, sizes = np.array(counts, np.int64).reshape(-1, 2).T
+    first, total = np.cumsum(sizes) - sizes, int(sizes.sum())
+    shards = -(-total // per_shard)
+    run = max(1, -(-shards // partitions)) * per_shard  # slots of a partition
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        squeeze = zstandard.ZstdCompressor(level=1).compress
+        for whole in batches:
+            for at in range(0, whole.num_rows, CUT):
+                b = whole.slice(at, CUT)
+                nth = b.column(1).to_numpy()
+                slots = permute(first[np.searchsorted(tasks, b.column(0).to_numpy())] + nth, total, key)
+                ids = pa.array([squeeze(x) for x in b.column(2).to_pylist()], pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(slots), pa.array((slots // run).astype(np.int32)), b.column(0), b.column(1), ids], ["slot", "part", "task", "nth", "ids"])
+
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out, now, index, shard = None, -1, 0, ""
-        names = ["range", "index", "shard", "byte_offset", "task", "nth", "ids_crc32"]
+        out, now, shard, expand = None, -1, "", zstandard.ZstdDecompressor().decompress
+        kinds = [pa.int64(), pa.string(), pa.int64(), pa.int32(), pa.int64(), pa.int64()]
         try:
             for b in batches:
                 rows = []
-                for part, task, nth, ids in zip(*(b.column(c).to_pylist() for c in ("range", "task", "nth", "ids"))):
-                    if part != now or index % per_shard == 0:
+                for slot, task, nth, packed in zip(*(b.column(c).to_pylist() for c in ("slot", "task", "nth", "ids"))):
+                    if slot // per_shard != now:
                         if out is not None:
                             out.commit()
-                        if part != now:
-                            now, index = part, 0
-                        shard = f"shard-{part:06d}-{index // per_shard:06d}.bin"
+                        now = slot // per_shard
+                        shard = f"shard-{now:09d}.bin"
                         out = Writer(f"{folder}/{shard}")
-                    rows.append((part, index, shard, out.size, task, nth, zlib.crc32(ids)))
+                    if out.size != slot % per_shard * stride:
+                        raise ValueError(f"slot {slot} is not the next of {shard}")
+                    ids = expand(packed)
+                    rows.append((slot, shard, out.size, task, nth, zlib.crc32(ids)))
                     out.write(ids)
-                    index += 1
-                kinds = [pa.int32(), pa.int64(), pa.string(), pa.int64(), pa.int32(), pa.int64(), pa.int64()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows) if rows else [()] * 7, kinds)], names)
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows) if rows else [()] * 6, kinds)], ["slot", "shard", "byte_offset", "task", "nth", "ids_crc32"])
             if out is not None:
                 out.commit()
                 out = None
@@ -151,15 +169,8 @@ def materialise(docs: DataFrame, ws: Workspace, tokenizer: str = TOKENIZER, end:
             if out is not None:
                 out.abort()
 
-    dealt = texts.mapInArrow(deal, "place bigint, `range` int, task int, nth bigint, ids binary")
-    ranged = dealt.repartitionById(parts, F.col("range")).sortWithinPartitions("place")
-    written = ws.write(ranged.mapInArrow(write, "`range` int, index bigint, shard string, byte_offset bigint, task int, nth bigint, ids_crc32 bigint"), "index")
-    sizes = {r["range"]: r.n for r in written.groupBy("range").agg(F.count("*").alias("n")).collect()}  # at most `parts` rows
-    before = np.cumsum([0] + [sizes.get(i, 0) for i in range(parts)])
-
-    def rank(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            slot = before[b.column(0).to_numpy()] + b.column(1).to_numpy()
-            yield pa.RecordBatch.from_arrays([pa.array(slot), *b.columns[2:]], ["slot", "shard", "byte_offset", "task", "nth", "ids_crc32"])
-
-    return written.mapInArrow(rank, "slot bigint, shard string, byte_offset bigint, task int, nth bigint, ids_crc32 bigint")
+    dealt = made.mapInArrow(deal, "slot bigint, part int, task int, nth bigint, ids binary")
+    ordered = dealt.repartitionById(max(1, -(-total // run)), F.col("part")).sortWithinPartitions("slot")
+    written = ws.write(ordered.mapInArrow(write, "slot bigint, shard string, byte_offset bigint, task int, nth bigint, ids_crc32 bigint"), "index")
+    ws.drop("records")
+    return written

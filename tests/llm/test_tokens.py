@@ -110,7 +110,7 @@ def test_shards_round_trip(spark, odd, odd_rows, cluttered, empty, ws):
     for k, docs in enumerate((odd, cluttered)):
         own = Workspace(spark, "order")
         folder = f"{own.root}/shards"
-        got = training_order.materialise(docs, own, length=64, per_shard=16, ranges=3 + k).collect()
+        got = training_order.materialise(docs, own, length=64, per_shard=16, partitions=(3, 50_000)[k]).collect()
         n = len(got)
         assert sorted(r.slot for r in got) == list(range(n))
         stream = defaultdict(dict)
@@ -120,9 +120,11 @@ def test_shards_round_trip(spark, odd, odd_rows, cluttered, empty, ws):
             stream[r.task][r.nth] = data
         files = sorted((r.shard, r.byte_offset, r.slot) for r in got)
         assert [x[2] for x in files] == list(range(n))  # files in name order hold the slots in order
-        tasks = docs.rdd.getNumPartitions()
-        places = training_order.permute(np.array([r.nth * tasks + r.task for r in sorted(got, key=lambda r: r.slot)]), tasks * training_order.SPAN)
-        assert (np.diff(places) > 0).all()  # the order is the permutation's
+        numbered = sorted(got, key=lambda r: (r.task, r.nth))  # as the scan made them
+        slots = np.array([r.slot for r in numbered])
+        assert slots.tolist() == training_order.permute(np.arange(n), n).tolist()
+        assert training_order.permute(slots, n, inverse=True).tolist() == list(range(n))
+        assert all(r.shard == f"shard-{r.slot // 16:09d}.bin" and r.byte_offset == r.slot % 16 * 128 for r in got)
         ids = np.frombuffer(b"".join(s[i] for _, s in sorted(stream.items()) for i in range(len(s))), "<u2")
         want = Counter(tuple(training_order.encode(t).tolist()) for _, t, *_ in odd_rows)
         cuts = np.split(ids, np.flatnonzero(ids == training_order.END) + 1)
