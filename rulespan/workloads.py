@@ -70,6 +70,12 @@ WORKLOADS: dict[str, tuple[str, str, str, int]] = {
     "moving_average": ("r(K, avg<B>) <- supplier(K, _, _, _), L = K - 2, supplier(J, _, _, B), J >= L, J <= K", "?r(K, X)", "SELECT s_suppkey AS k, round(avg(s_acctbal) OVER (ORDER BY s_suppkey ROWS BETWEEN 2 PRECEDING AND CURRENT ROW), 4) AS x FROM supplier", 4),
     "first_last_value": ("f(U, min<T>, max<T>) <- events(_, T, U, _, _, _)\nr(U, A, B) <- f(U, S, E), events(A, S, U, _, _, _), events(B, E, U, _, _, _)", "?r(U, A, B)", "WITH f AS (SELECT user_id u, min(ts) s, max(ts) e FROM events GROUP BY 1) SELECT u, a.event_id AS a, b.event_id AS b FROM f JOIN events a ON a.user_id = u AND a.ts = s JOIN events b ON b.user_id = u AND b.ts = e", 4),
     "gap_detection": ('k(C) <- orders(_, C, _, _, _, _)\nr(C) <- k(C), D = C + 1, customer(D, _, _, _, _), !k(D)', "?r(C)", "SELECT DISTINCT o_custkey AS c FROM orders WHERE o_custkey + 1 IN (SELECT c_custkey FROM customer) AND o_custkey + 1 NOT IN (SELECT o_custkey FROM orders)", 4),
+    "row_number_sim": ("r(G, K, count<J>) <- nation(K, _, G), nation(J, _, G), J <= K", "?r(G, K, N)", "SELECT CAST(n_regionkey AS BIGINT) AS g, CAST(n_nationkey AS BIGINT) AS k, row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) AS n FROM nation", 4),
+    "gap_ends": ('k(C) <- orders(_, C, "P", _, _, _)\nr(C) <- k(C), D = C + 1, customer(D, _, _, _, _), !k(D)', "?r(C)", "WITH k AS (SELECT DISTINCT o_custkey c FROM orders WHERE o_orderstatus = 'P') SELECT c FROM k WHERE c + 1 IN (SELECT c_custkey FROM customer) AND c + 1 NOT IN (SELECT c FROM k)", 4),
+    "island_detection": ('k(C) <- orders(_, C, "P", _, _, _)\ns(C) <- k(C), P = C - 1, !k(P)\ne(C) <- k(C), N = C + 1, !k(N)\nr(A, min<B>) <- s(A), e(B), B >= A', "?r(A, B)", "SELECT min(c) AS a, max(c) AS b FROM (SELECT c, c - row_number() OVER (ORDER BY c) g FROM (SELECT DISTINCT o_custkey c FROM orders WHERE o_orderstatus = 'P')) GROUP BY g", 4),
+    "percentile_bucket": ('r(K, "low") <- customer(K, _, _, B, _), B < 1000.0\nr(K, "medium") <- customer(K, _, _, B, _), B >= 1000.0, B < 8000.0\nr(K, "high") <- customer(K, _, _, B, _), B >= 8000.0', "?r(K, Bucket)", "SELECT c_custkey AS k, CASE WHEN c_acctbal < 1000 THEN 'low' WHEN c_acctbal < 8000 THEN 'medium' ELSE 'high' END AS bucket FROM customer", 4),
+    "set_containment": ('big(C) <- customer(C, _, _, B, _), B > 0.0\nopen(C) <- orders(_, C, "P", _, _, _)\nr(C) <- open(C), !big(C)', "?r(C)", "SELECT DISTINCT o_custkey AS c FROM orders WHERE o_orderstatus = 'P' AND o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_acctbal > 0)", 4),
+    "anti_join_open": ('r(C) <- customer(C, _, _, _, _), !orders(_, C, "P", _, _, _)', "?r(C)", "SELECT c_custkey AS c FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'P')", 4),
     "percent_of_total": ("t(sum<B>) <- supplier(_, _, _, B)\nn(N, sum<B>) <- supplier(_, _, N, B)\nr(N, P) <- n(N, S), t(T), P = 100 * S / T", "?r(N, P)", "SELECT CAST(s_nationkey AS BIGINT) AS n, round(100 * sum(s_acctbal) / (SELECT sum(s_acctbal) FROM supplier), 4) AS p FROM supplier GROUP BY 1", 4),
     # --- functions
     "arith_ops": ("r(K, A, B, C, D, E) <- nation(K, _, R), A = K + R * 2, B = K - 30, C = K / R, D = K % R, E = B % 7", "?r(K, A, B, C, D, E)", "SELECT CAST(n_nationkey AS BIGINT) AS k, CAST(n_nationkey + n_regionkey * 2 AS BIGINT) AS a, CAST(n_nationkey - 30 AS BIGINT) AS b, round(n_nationkey / nullif(n_regionkey, 0), 4) AS c, CAST(n_nationkey % nullif(n_regionkey, 0) AS BIGINT) AS d, CAST((n_nationkey - 30) % 7 AS BIGINT) AS e FROM nation", 4),
@@ -85,12 +91,12 @@ WORKLOADS: dict[str, tuple[str, str, str, int]] = {
     "session_duration": ("s(U, min<T>, max<T>) <- events(_, T, U, _, _, _)\nr(U, D) <- s(U, A, B), D = time_diff(B, A)", "?r(U, D)", "SELECT user_id AS u, max((epoch_us(ts) // 1000)) - min((epoch_us(ts) // 1000)) AS d FROM events GROUP BY 1", 4),
     "sequence_detection": ('r(U, A, B) <- events(A, T, U, "signup", _, _), events(B, V, U, "purchase", _, _), T < V', "?r(U, A, B)", "SELECT a.user_id AS u, a.event_id AS a, b.event_id AS b FROM events a JOIN events b USING (user_id) WHERE a.event_type = 'signup' AND b.event_type = 'purchase' AND (epoch_us(a.ts) // 1000) < (epoch_us(b.ts) // 1000)", 4),
     # --- vectors
-    "vec_distances": ("r(I, J, A, B, C, D) <- embeddings(I, V, L), embeddings(J, W, L), I < J, I < 40, A = euclidean(V, W), B = cosine(V, W), C = dot(V, W), D = manhattan(V, W)", "?r(I, J, A, B, C, D)", "SELECT x.vec_id AS i, y.vec_id AS j, round(list_distance(x.embedding::DOUBLE[], y.embedding::DOUBLE[]), 4) AS a, round(1 - list_cosine_similarity(x.embedding::DOUBLE[], y.embedding::DOUBLE[]), 4) AS b, round(list_dot_product(x.embedding::DOUBLE[], y.embedding::DOUBLE[]), 4) AS c, round(list_sum(list_transform(list_zip(x.embedding::DOUBLE[], y.embedding::DOUBLE[]), lambda p: abs(p[1] - p[2]))), 4) AS d FROM embeddings x JOIN embeddings y ON x.label = y.label AND x.vec_id < y.vec_id AND x.vec_id < 40", 4),
+    "vec_distances": ("r(I, J, A, B, C, D) <- embeddings(I, V, L), embeddings(J, W, L), I != J, M = I % 20, M = 0, A = euclidean(V, W), B = cosine(V, W), C = dot(V, W), D = manhattan(V, W)", "?r(I, J, A, B, C, D)", "SELECT x.vec_id AS i, y.vec_id AS j, round(list_distance(x.embedding::DOUBLE[], y.embedding::DOUBLE[]), 4) AS a, round(1 - list_cosine_similarity(x.embedding::DOUBLE[], y.embedding::DOUBLE[]), 4) AS b, round(list_dot_product(x.embedding::DOUBLE[], y.embedding::DOUBLE[]), 4) AS c, round(list_sum(list_transform(list_zip(x.embedding::DOUBLE[], y.embedding::DOUBLE[]), lambda p: abs(p[1] - p[2]))), 4) AS d FROM embeddings x JOIN embeddings y ON x.label = y.label AND x.vec_id <> y.vec_id AND x.vec_id % 20 = 0", 4),
     "vec_utils": ("r(I, N, A, B) <- embeddings(I, V, _), N = vec_dim(V), S = vec_scale(V, 2.0), U = vec_add(V, V), A = euclidean(S, U), M = normalize(V), B = dot(M, M)", "?r(I, N, A, B)", "SELECT vec_id AS i, CAST(len(embedding) AS BIGINT) AS n, 0.0::DOUBLE AS a, 1.0::DOUBLE AS b FROM embeddings", 4),
     "quantize": ("r(I, S, D) <- embeddings(I, V, _), Q = quantize_linear(V), Y = quantize_symmetric(V), P = dequantize(Q), S = dot(P, P), D = dot_int8(Y, Y)", "?r(I, S, D)", "WITH e AS (SELECT vec_id, embedding::DOUBLE[] v, list_min(embedding::DOUBLE[]) lo, list_max(embedding::DOUBLE[]) hi, list_max(list_transform(embedding::DOUBLE[], lambda x: abs(x))) m FROM embeddings), q AS (SELECT vec_id, list_transform(v, lambda x: round((x - lo) * (255.0::DOUBLE / (hi - lo)) - 128.0::DOUBLE)) a, list_transform(v, lambda x: round(x * (127.0::DOUBLE / m))) b FROM e) SELECT vec_id AS i, list_dot_product(a, a) AS s, list_dot_product(b, b) AS d FROM q", 2),
-    "int8_distances": ("q(I, Y, L) <- embeddings(I, V, L), I < 60, Y = quantize_symmetric(V)\nr(I, J, A, B, C) <- q(I, V, L), q(J, W, L), I < J, A = euclidean_int8(V, W), B = cosine_int8(V, W), C = manhattan_int8(V, W)", "?r(I, J, A, B, C)", "WITH e AS (SELECT vec_id i, label l, embedding::DOUBLE[] v, list_max(list_transform(embedding::DOUBLE[], lambda x: abs(x))) m FROM embeddings WHERE vec_id < 60), q AS (SELECT i, l, list_transform(v, lambda x: round(x * (127.0::DOUBLE / m))) y FROM e) SELECT a.i AS i, b.i AS j, round(list_distance(a.y, b.y), 4) AS a, round(1 - list_cosine_similarity(a.y, b.y), 4) AS b, list_sum(list_transform(list_zip(a.y, b.y), lambda p: abs(p[1] - p[2]))) AS c FROM q a JOIN q b ON a.l = b.l AND a.i < b.i", 4),
+    "int8_distances": ("q(I, Y, L) <- embeddings(I, V, L), Y = quantize_symmetric(V)\nr(I, J, A, B, C) <- q(I, V, L), q(J, W, L), I != J, M = I % 20, M = 0, A = euclidean_int8(V, W), B = cosine_int8(V, W), C = manhattan_int8(V, W)", "?r(I, J, A, B, C)", "WITH e AS (SELECT vec_id i, label l, embedding::DOUBLE[] v, list_max(list_transform(embedding::DOUBLE[], lambda x: abs(x))) m FROM embeddings), q AS (SELECT i, l, list_transform(v, lambda x: round(x * (127.0::DOUBLE / m))) y FROM e) SELECT a.i AS i, b.i AS j, round(list_distance(a.y, b.y), 4) AS a, round(1 - list_cosine_similarity(a.y, b.y), 4) AS b, list_sum(list_transform(list_zip(a.y, b.y), lambda p: abs(p[1] - p[2]))) AS c FROM q a JOIN q b ON a.l = b.l AND a.i <> b.i AND a.i % 20 = 0", 4),
     "vec_threshold": ("q(V) <- embeddings(7, V, _)\nr(I, D) <- q(V), embeddings(I, W, _), D = cosine(V, W), D < 0.9", "?r(I, D)", "SELECT y.vec_id AS i, round(1 - list_cosine_similarity(x.embedding::DOUBLE[], y.embedding::DOUBLE[]), 4) AS d FROM embeddings x, embeddings y WHERE x.vec_id = 7 AND 1 - list_cosine_similarity(x.embedding::DOUBLE[], y.embedding::DOUBLE[]) < 0.9", 4),
-    "knn": ("q(I, V) <- embeddings(I, V, _), I < 20\nr(I, top_k<5, J, D:asc>) <- q(I, V), embeddings(J, W, _), I != J, D = euclidean(V, W)", "?r(I, J, D)", "SELECT x.vec_id AS i, y.vec_id AS j, round(list_distance(x.embedding::DOUBLE[], y.embedding::DOUBLE[]), 4) AS d FROM embeddings x JOIN embeddings y ON x.vec_id < 20 AND x.vec_id <> y.vec_id QUALIFY row_number() OVER (PARTITION BY x.vec_id ORDER BY list_distance(x.embedding::DOUBLE[], y.embedding::DOUBLE[]), y.vec_id) <= 5", 4),
+    "knn": ("q(I, V) <- embeddings(I, V, _), M = I % 20, M = 0\nr(I, top_k<5, J, D:asc>) <- q(I, V), embeddings(J, W, _), I != J, D = euclidean(V, W)", "?r(I, J, D)", "SELECT x.vec_id AS i, y.vec_id AS j, round(list_distance(x.embedding::DOUBLE[], y.embedding::DOUBLE[]), 4) AS d FROM embeddings x JOIN embeddings y ON x.vec_id % 20 = 0 AND x.vec_id <> y.vec_id QUALIFY row_number() OVER (PARTITION BY x.vec_id ORDER BY list_distance(x.embedding::DOUBLE[], y.embedding::DOUBLE[]), y.vec_id) <= 5", 4),
     "lsh_self_consistency": ("b(I, B) <- embeddings(I, V, _), B = lsh_bucket(V, 3, 8)\nr(I, A, C) <- embeddings(I, V, _), b(I, B), S = vec_scale(V, 2.0), B2 = lsh_bucket(S, 3, 8), A = time_between(B, 0, 255), C = hamming(B, B2)", "?r(I, A, C)", "SELECT vec_id AS i, true AS a, CAST(0 AS BIGINT) AS c FROM embeddings", 4),
     "lsh_probes": ("r(I, N, M) <- embeddings(I, V, _), B = lsh_bucket(V, 1, 6), P = lsh_probes(B, 6, 10), N = vec_dim(P), Q = lsh_multi_probe(V, 1, 6, 64), M = vec_dim(Q)", "?r(I, N, M)", "SELECT vec_id AS i, CAST(10 AS BIGINT) AS n, CAST(42 AS BIGINT) AS m FROM embeddings", 4),
     # --- recursion
