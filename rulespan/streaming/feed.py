@@ -1,7 +1,8 @@
 """Change feeds: Structured Streaming batches of (row, _diff) into a change table, and views kept up to date with them.
 
-A batch is appended under its number, so a batch that is run again is recognised and
-skipped. Views are rules over the feed's relations: they are worked out again after a batch
+A batch is kept under its stream's id and its number, so one that is run again, after a
+restart too, is recognised and not added twice; a stream with a new checkpoint is another
+source. A view's first result after a start has all its rows as new. Views are rules over the feed's relations: they are worked out again after a batch
 that touches what they read, and subscribers get the rows that came and went.
 """
 
@@ -25,7 +26,9 @@ class Feed:
         self.engine, self.rel, self.table = engine, rel, ChangeTable(engine.spark, path)
         self.views: dict[str, tuple[str, Callable[[DataFrame, DataFrame], None]]] = {}
         self.last: dict[str, DataFrame] = {}
-        self.batch = -1
+        self.seen: set[tuple[str, int]] = set()
+        if self.table.exists():
+            self.engine.register(self.rel, self.table.state(), is_set=True)
 
     def view(self, name: str, query: str, on_change: Callable[[DataFrame, DataFrame], None]) -> None:
         """on_change(rows that came, rows that went) after each batch that may change the query's answers."""
@@ -33,13 +36,14 @@ class Feed:
 
     def apply(self, batch: DataFrame, number: int) -> None:
         """One micro-batch; _diff is 1 for an insertion, -1 for a retraction (1 if absent)."""
-        if number <= self.batch:
+        source = batch.sparkSession.sparkContext.getLocalProperty("sql.streaming.queryId") or "direct"
+        if (source, number) in self.seen:
             return
         if "_diff" not in batch.columns:
             batch = batch.withColumn("_diff", F.lit(1).cast("bigint"))
         changes = batch.withColumn("_time", F.lit(number).cast("bigint")).withColumn("_diff", F.col("_diff").cast("bigint"))
-        self.table.append_changes(changes)
-        self.batch = number
+        self.table.append_changes(changes, source, number)
+        self.seen = {x for x in self.seen if x[0] != source} | {(source, number)}
         self.engine.register(self.rel, self.table.state(), is_set=True)
         from ..plans.parser import parse_query
 

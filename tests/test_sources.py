@@ -1,3 +1,5 @@
+import os
+
 import pyarrow as pa
 from row_sets import rows
 
@@ -32,6 +34,39 @@ def test_change_table(spark, tmp_path):
     assert rows(consolidate(t.read())) == [(1, 2)] and rows(t.read(since=2).select("k")) == [(1,)]
     t.compact(2)
     assert rows(t.state()) == [(1,)] and t.read().count() == 2
+    t.compact(3)
+    assert rows(t.state()) == [(1,)] and t.read().count() == 1 and len(os.listdir(tmp_path / "t")) == 2
+
+
+def test_a_batch_cut_short_does_not_count(spark, tmp_path):
+    t = ChangeTable(spark, str(tmp_path / "t"))
+    df = spark.createDataFrame([(1,), (2,)], "k long")
+    t.append(df)
+    t.append(df)
+    done = next((tmp_path / "t").glob("batch-*1/rows/_SUCCESS"))
+    done.unlink()
+    assert t.read().count() == 2
+    t.append(df.where("k = 1"))  # takes the place of what was cut short
+    assert t.read().count() == 3
+    t.compact(0)
+    next((tmp_path / "t").glob("base-*/rows/_SUCCESS")).unlink()
+    assert t.read().count() == 3
+    t.compact(0)
+    assert rows(t.read().select("k", "_diff")) == [(1, 2), (2, 1)]
+
+
+def test_a_batch_counts_once_over_restarts(spark, tmp_path):
+    batch = lambda *rs: spark.createDataFrame(list(rs), "k long, _diff long")
+    feed = lambda: Feed(Engine(spark), "e", str(tmp_path / "t"))
+    feed().apply(batch((1, 1)), 0)
+    second = feed()  # a new process; the last batch is played again
+    assert rows(second.engine.query("?e(K)")) == [(1,)]
+    second.apply(batch((1, 1)), 0)
+    second.table.compact(0)
+    third = feed()
+    third.apply(batch((1, 1)), 0)
+    third.apply(batch((1, -1), (2, 1)), 1)
+    assert rows(third.engine.query("?e(K)")) == [(2,)]
 
 
 def test_feed_with_retractions(spark, tmp_path):
