@@ -44,6 +44,7 @@ LENGTH, PER_SHARD, KEY = 1024, 4096, 20_240_501
 ROUNDS = 6
 PARTITIONS = 50_000  # of the order, at most
 CUT = 512  # records that a batch holds
+SQUEEZED = {"compression": "zstd", "parquet.compression.codec.zstd.level": "5", "parquet.enable.dictionary": "false"}
 
 
 def _mix(x: np.ndarray, key: int) -> np.ndarray:
@@ -126,7 +127,7 @@ def materialise(docs: DataFrame, ws: Workspace, tokenizer: str = TOKENIZER, end:
             yield pa.RecordBatch.from_arrays([pa.array([task] * len(some), pa.int32()), pa.array(range(nth, nth + len(some)), pa.int64()), pa.array(some, pa.binary())], ["task", "nth", "ids"])
             nth += len(some)
 
-    made = ws.write(docs.select("text").mapInArrow(cut, "task int, nth bigint, ids binary"), "records", compression="zstd")
+    made = ws.write(docs.select("text").mapInArrow(cut, "task int, nth bigint, ids binary"), "records", **SQUEEZED)
     counts = sorted(made.groupBy("task").agg(F.count("*").alias("n")).collect())  # one row an input split
     tasks, sizes = np.array(counts, np.int64).reshape(-1, 2).T
     first, total = np.cumsum(sizes) - sizes, int(sizes.sum())
@@ -134,7 +135,7 @@ def materialise(docs: DataFrame, ws: Workspace, tokenizer: str = TOKENIZER, end:
     run = max(1, -(-shards // partitions)) * per_shard  # slots of a partition
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        squeeze = zstandard.ZstdCompressor(level=1).compress
+        squeeze = zstandard.ZstdCompressor(level=3).compress
         for whole in batches:
             for at in range(0, whole.num_rows, CUT):
                 b = whole.slice(at, CUT)
