@@ -2,13 +2,31 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import Workspace
 
+SMALL = 100_000  # edges that the driver may take, where a caller allows it
 
-def components(edges: DataFrame, ws: Workspace, rounds: int = 60) -> DataFrame:
+
+def _on_driver(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Edges to (nodes, roots)."""
+    nodes, ends = np.unique(np.concatenate([a, b]), return_inverse=True)
+    label, (x, y) = np.arange(len(nodes)), ends.reshape(2, -1)
+    while len(x):  # hook the larger root to the smaller, then shorten paths
+        x, y = label[x], label[y]
+        apart = x != y
+        x, y = x[apart], y[apart]
+        np.minimum.at(label, np.maximum(x, y), np.minimum(x, y))
+        while (label[label] != label).any():
+            label = label[label]
+    return nodes, nodes[label]
+
+
+def components(edges: DataFrame, ws: Workspace, rounds: int = 60, small: int = 0) -> DataFrame:
     """edges(a, b: bigint) -> (node, root), root the smallest node reachable; isolated nodes are absent.
 
     Large-star then small-star steps (Kiveris et al. 2014) until the edge set is a forest
@@ -16,9 +34,13 @@ def components(edges: DataFrame, ws: Workspace, rounds: int = 60) -> DataFrame:
     it back; AQE splits the join's partition of a hub. Every round is written to the shared
     folder, so lineage stays short. Null ends and loops are ignored; no edges give no rows.
     Raises if `rounds` rounds do not settle it (that takes a path of about 2**rounds nodes).
+    At most `small` edges (checked with a limit) are settled on the driver instead of by some ten jobs.
     """
     now = ws.write(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "cc0")
     last = None
+    if small and (few := now.limit(small + 1).toArrow()).num_rows <= small:
+        nodes, roots = _on_driver(few["a"].to_numpy(), few["b"].to_numpy())
+        return ws.write(ws.spark.createDataFrame(pa.table({"node": pa.array(nodes, pa.int64()), "root": pa.array(roots, pa.int64())})), "roots")
     for i in range(1, rounds + 1):
         both = now.union(now.select("b", "a"))
         low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))

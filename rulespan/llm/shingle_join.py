@@ -9,12 +9,14 @@ texts last, then goes by hash; the sample decides the cost, never the result.
 Rows of shingles that one text alone holds in its first ones are dropped at once. Each text
 that is left has a sketch: which of its shingles' low bits occur an odd number of times. Two
 sketches differ in no more bits than the sets differ in shingles, so sizes and sketches rule
-pairs out without a loss. What they leave is compared on whole sets:
+pairs out without a loss. What is left is compared on whole texts:
 
-* in rounds, each text of a shingle with a few of its others (pivots, others each round), if
-  the links found so far leave the two apart. A large group of near copies comes together here;
+* in rounds, each text with one of its shingles' pivots (a few texts of a shingle, others each
+  round), if the links found so far leave the two apart. So a large group makes few pairs;
 * at last, all pairs of a shingle that are still apart, in tiles of bounded size. A shingle
   whose texts are all of one component has none.
+
+On disk lie the candidates' texts, once, and no shingle sets, which take more than the texts.
 """
 
 from __future__ import annotations
@@ -29,7 +31,7 @@ from pyspark.sql import functions as F
 
 from . import simhash
 from .common import Workspace
-from .components import components
+from .components import SMALL, components
 
 WORDS = 5
 PART, WHOLE = 4, 5  # similarity 4/5
@@ -78,11 +80,11 @@ def sketch(s: np.ndarray) -> bytes:
     return np.packbits(np.bincount((s & np.uint64(BITS - 1)).astype(np.int64), minlength=BITS).astype(np.uint8) & 1).tobytes()
 
 
-def common_shingles(docs: DataFrame) -> np.ndarray:
+def common_shingles(docs: DataFrame, ws: Workspace) -> np.ndarray:
     """docs(row: a hash, text) -> shingles of many documents, sorted; empty for small tables."""
     some = sets(docs.where(F.pmod("row", F.lit(SAMPLE)) == 0), "row")
     found = some.select(F.explode("s").alias("x")).groupBy("x").agg(F.count("*").alias("n")).where(F.col("n") >= COMMON)
-    found = found.orderBy(F.desc("n"), "x").limit(MOST).select("x").toArrow()["x"].to_numpy()
+    found = ws.write(found, "common").orderBy(F.desc("n"), "x").limit(MOST).select("x").toArrow()["x"].to_numpy()
     return np.sort(found.astype(np.int64).view(np.uint64))
 
 
@@ -150,7 +152,7 @@ def _pairs(t: pa.Table, found: list[tuple[np.ndarray, np.ndarray]]) -> pa.Record
 
 
 def _with_pivots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by key: each with the first PIVOTS of its key."""
+    """Rows sorted by (key, nth): of each the first of its key's PIVOTS that may reach the limit, as (fp, pivot, nth: the pivot's)."""
     held: pa.Table | None = None  # the pivots of the last key
     for b in batches:
         for at in range(0, b.num_rows, 4096):
@@ -159,11 +161,14 @@ def _with_pivots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             key, place = t["key"].to_numpy(), np.arange(t.num_rows)
             starts = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
             start = np.repeat(starts, np.diff(np.append(starts, t.num_rows)))
-            found, apart = [], _apart(t)
+            pivot, apart = np.full(t.num_rows, -1), _apart(t)
             for p in range(PIVOTS):
-                fresh = place[(start + p < place) & (place >= t.num_rows - new.num_rows)]
-                found.append(apart(start[fresh] + p, fresh))
-            yield _pairs(t, found)
+                fresh = place[(start + p < place) & (place >= t.num_rows - new.num_rows) & (pivot < 0)]
+                met, one = apart(start[fresh] + p, fresh)
+                pivot[one] = met
+            one = np.flatnonzero(pivot >= 0)
+            fp, nth = t["fp"].to_numpy(), t["nth"].to_numpy()
+            yield pa.RecordBatch.from_arrays([pa.array(fp[one]), pa.array(fp[pivot[one]]), pa.array(nth[pivot[one]])], ["fp", "pivot", "nth"])
             held = t.slice(int(starts[-1]), PIVOTS)
 
 
@@ -183,53 +188,81 @@ def _in_tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield _pairs(t, found)
 
 
-def links(docs: DataFrame, marked: DataFrame, ws: Workspace, tile: int = TILE) -> DataFrame:
+def _alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (a, b, and the texts of both) to the pairs (a, b) at the limit."""
+    for whole in batches:
+        for at in range(0, whole.num_rows, 256):
+            b = whole.slice(at, 256)
+            near, last, mine = [], None, None
+            for x, text, other in zip(b.column(0).to_pylist(), b.column(2).to_pylist(), b.column(3).to_pylist()):
+                if x != last:
+                    last, mine = x, shingles(text)
+                found = shingles(other)
+                met = len(np.intersect1d(mine, found, assume_unique=True))
+                near.append((PART + WHOLE) * met >= PART * (len(mine) + len(found)))
+            yield pa.RecordBatch.from_arrays(b.columns[:2], ["a", "b"]).filter(pa.array(near, pa.bool_()))
+
+
+def shared_rows(marked: DataFrame) -> DataFrame:
+    """marked(fp, n, first) -> (key, fp, n) of the first shingles that several texts share."""
+    rows = marked.select(F.explode("first").alias("key"), "fp", "n").repartition("key").sortWithinPartitions("key", "fp")
+    return rows.mapInArrow(_shared, "key bigint, fp bigint, n int")
+
+
+def links(docs: DataFrame, marked: DataFrame, shared: DataFrame, ws: Workspace, tile: int = TILE) -> DataFrame:
     """Edges (a, b) of fps whose components are those of all pairs at the limit.
 
-    docs(doc_id, row, text) and marked of marks() over them.
+    docs(doc_id, row, text), marked(doc_id, row, fp) of marks() over them and shared of shared_rows().
     """
-    rows = marked.select(F.explode("first").alias("key"), "fp", "n").repartition("key").sortWithinPartitions("key", "fp")
-    shared = ws.write(rows.mapInArrow(_shared, "key bigint, fp bigint, n int"), "shared")
     # One row's text for each fp that may have a partner.
     one = marked.join(shared.select("fp").distinct(), "fp", "left_semi").groupBy("fp").agg(F.min(F.struct("doc_id", "row")).alias("m"))
     one = one.select("fp", F.col("m.doc_id").alias("id"), F.col("m.row").alias("r"))
     texts = docs.join(one, docs["doc_id"].eqNullSafe(F.col("id")) & (docs["row"] == F.col("r"))).select("fp", "text").dropDuplicates(["fp"])
-    whole = ws.write(sets(texts, "fp"), "sets")
-    placed = shared.withColumn("root", F.col("fp"))
+    texts = ws.write(texts, "texts")
+    sketches = ws.write(sets(texts, "fp").select("fp", "bits"), "sketches")
+    placed, edges = shared.withColumn("root", F.col("fp")), None
 
     def similar(pairs: DataFrame, name: str) -> DataFrame:
-        a, b = whole.select(F.col("fp").alias("a"), F.col("s").alias("sa")), whole.select(F.col("fp").alias("b"), F.col("s").alias("sb"))
-        both = ws.write(pairs.distinct(), f"{name}-pairs").join(a, "a").join(b, "b")
-        met = F.size(F.array_intersect("sa", "sb"))
-        return ws.write(both.where((PART + WHOLE) * met >= PART * (F.size("sa") + F.size("sb"))).select("a", "b"), name)
+        a, b = texts.select(F.col("fp").alias("a"), F.col("text").alias("ta")), texts.select(F.col("fp").alias("b"), F.col("text").alias("tb"))
+        both = ws.write(pairs.distinct(), f"{name}-pairs").join(a, "a").join(b, "b").select("a", "b", "ta", "tb")
+        return ws.write(both.mapInArrow(_alike, "a bigint, b bigint"), name)
 
     def open_keys() -> DataFrame:
         """(key, n: its rows) of keys with rows of two components or more."""
         return placed.groupBy("key").agg(F.count("*").alias("n"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("key", "n")
 
-    edges = None
     for i in range(ROUNDS):
-        rows = placed.join(open_keys().select("key"), "key", "left_semi").join(whole.select("fp", "bits"), "fp")
+        rows = placed.join(open_keys().select("key"), "key", "left_semi").join(sketches, "fp")
         rows = rows.withColumn("nth", F.xxhash64("fp", F.lit(i))).repartition("key").sortWithinPartitions("key", "nth")
-        more = similar(rows.select("key", "fp", "n", "root", "bits").mapInArrow(_with_pivots, "a bigint, b bigint"), f"near{i}")
+        met = rows.select("key", "fp", "n", "root", "bits", "nth").mapInArrow(_with_pivots, "fp bigint, pivot bigint, nth bigint")
+        pairs = met.groupBy("fp").agg(F.min_by("pivot", "nth").alias("pivot")).select(F.least("fp", "pivot").alias("a"), F.greatest("fp", "pivot").alias("b"))
+        more = similar(pairs, f"near{i}")
         if more.isEmpty():
             break
         edges = more if edges is None else edges.union(more)
-        roots = components(edges, ws).select(F.col("node").alias("fp"), "root")
+        roots = components(edges, ws, small=SMALL).select(F.col("node").alias("fp"), "root")
         placed = ws.write(shared.join(roots, "fp", "left").select("key", "fp", "n", F.coalesce("root", "fp").alias("root")), f"placed{i}")
+        ws.drop(f"placed{i - 1}")
     keys = open_keys().select("key", F.when(F.col("n") > tile, F.ceil(F.col("n") / (tile // 2))).otherwise(1).cast("int").alias("chunks"))
     # Chunk c of m meets every chunk once: it goes to tiles (c, d) and (d, c), named low * m + high.
     split = placed.join(keys, "key").withColumn("chunk", F.pmod(F.xxhash64("fp"), F.col("chunks")).cast("int"))
     dealt = split.select("*", F.explode(F.expr("sequence(0, chunks - 1)")).alias("d"))
     dealt = dealt.withColumn("tile", F.least("chunk", "d") * F.col("chunks") + F.greatest("chunk", "d")).withColumn("own", F.col("chunk") == F.col("d"))
-    dealt = dealt.join(whole.select("fp", "bits"), "fp").select("key", "tile", "chunk", "own", "fp", "n", "root", "bits")
+    dealt = dealt.join(sketches, "fp").select("key", "tile", "chunk", "own", "fp", "n", "root", "bits")
     last = similar(dealt.repartition("key", "tile").sortWithinPartitions("key", "tile").mapInArrow(_in_tiles, "a bigint, b bigint"), "near-last")
+    ws.drop("shared", "texts", "sketches", f"placed{i}", f"placed{i - 1}")
     return last if edges is None else edges.union(last)
 
 
 def keep_one(docs: DataFrame, ws: Workspace) -> DataFrame:
     """docs, same columns: one document of each component stays, chosen as simhash.keep_one() does."""
+    ws = ws.tidy()
     content = simhash.content(docs)
     slim = docs.select("doc_id", content.alias("row"), "text")
-    marked = ws.write(marks(slim, common_shingles(slim)), "marked")
-    return simhash.one_of_each(docs, marked.select("doc_id", "row", "fp"), links(slim, marked, ws), ws)
+    full = ws.write(marks(slim, common_shingles(slim, ws)), "marked")
+    shared = ws.write(shared_rows(full), "shared")
+    marked = ws.write(full.select("doc_id", "row", "fp"), "slim")
+    ws.drop("common", "marked")  # the first shingles take much disk
+    kept = simhash.one_of_each(docs, marked.select("doc_id", "row", "fp"), links(slim, marked, shared, ws), ws)
+    ws.drop("slim")
+    return kept

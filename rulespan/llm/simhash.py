@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import Workspace
-from .components import components
+from .components import SMALL, components
 
 LIMIT = 3  # differing bits
 SHINGLE = 3  # words
@@ -176,11 +176,11 @@ def links(distinct: DataFrame, ws: Workspace, tile: int = TILE) -> DataFrame:
     return dealt.mapInArrow(_links, "a bigint, b bigint")
 
 
-def _classes(marked: DataFrame, ws: Workspace, near: DataFrame | None = None) -> DataFrame:
+def _classes(marked: DataFrame, ws: Workspace, near: DataFrame | None = None, small: int = 0) -> DataFrame:
     """marked(doc_id, fp) -> (fp, root, component_id) for every distinct fingerprint; near: edges if not links()."""
     distinct = ws.write(marked.groupBy("fp").agg(F.min("doc_id").alias("rep")), "distinct")
     near = ws.write(links(distinct.select("fp"), ws) if near is None else near, "links")
-    roots = components(near, ws)
+    roots = components(near, ws, small=small)
     rooted = distinct.join(roots, distinct["fp"] == roots["node"], "left").select("fp", "rep", F.coalesce("root", "fp").alias("root"))
     # Only groups of several fingerprints can change their id.
     low = rooted.groupBy("root").agg(F.min("rep").alias("component_id"))
@@ -212,7 +212,7 @@ def content(docs: DataFrame) -> Column:
 
 def one_of_each(docs: DataFrame, slim: DataFrame, near: DataFrame | None, ws: Workspace) -> DataFrame:
     """keep_one() for slim(doc_id, row: content(), fp) and edges `near` between fps."""
-    classes = _classes(slim, ws, near)
+    classes = _classes(slim, ws, near, SMALL)
     # The least id of each component, by an aggregate that combines map-side.
     first = slim.join(classes, "fp").groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("void"), F.col("doc_id").alias("id"), F.col("row").alias("row"))).alias("b"))
     chosen = ws.write(first.select(F.col("b.id").alias("__rs_id"), F.col("b.row").alias("__rs_row")), "chosen")

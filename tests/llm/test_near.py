@@ -1,7 +1,9 @@
 """SimHash, components and suffix dedup against brute force."""
 
 import hashlib
+import os
 import random
+import time
 from collections import Counter
 
 import numpy as np
@@ -206,3 +208,34 @@ def test_shingle_join_finds_every_near_copy(spark, ws, odd_rows, monkeypatch, co
     assert 5 < len(set(label)) < len(docs) - 50
     assert Counter(r.doc_id for r in kept) == Counter(best.get(g) for g in set(label))
     assert shingle_join.keep_one(df.limit(0), ws).count() == 0
+
+
+def test_components_on_the_driver(spark, ws):
+    rng = random.Random(2)
+    edges = [(i, i + 1) for i in range(200)] + [(rng.randrange(5000, 5100), rng.randrange(5000, 5100)) for _ in range(60)] + [(7, 7), (None, 3), (-5, 9000)]
+    df = spark.createDataFrame(edges, "a long, b long")
+    want = {r.node: r.root for r in components(df, ws).collect()}
+    for small in (1000, 10):  # the latter is too few, so Spark settles it
+        assert {r.node: r.root for r in components(df, ws, small=small).collect()} == want
+    assert components(df.limit(0), ws, small=10).count() == 0
+
+
+def shuffle_files(spark):
+    found = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().mkString("\n")
+    return {f for f in found.split("\n") if "/shuffle_" in f}
+
+
+def test_near_copies_leave_no_disk_in_use(spark, ws):
+    tidy, before = ws.tidy(), shuffle_files(spark)
+    counts = tidy.write(spark.range(5000).selectExpr("id % 50 as k").groupBy("k").count(), "counts")
+    for _ in range(50):  # the files go a moment later
+        if not (left := shuffle_files(spark) - before):
+            break
+        time.sleep(0.2)
+    assert not left and counts.count() == 50
+    rng = random.Random(4)
+    texts = [[f"w{rng.randrange(5000)}" for _ in range(300)] for _ in range(5)]
+    docs = spark.createDataFrame([(10 * i + k, " ".join(edited(rng, t, k))) for i, t in enumerate(texts) for k in range(4)], "doc_id long, text string")
+    kept = shingle_join.keep_one(docs, ws)
+    assert not {"marked", "shared", "sets", "texts", "placed0"} & set(os.listdir(ws.root.removeprefix("file://")))
+    assert sorted(r.doc_id for r in kept.collect()) == [0, 10, 20, 30, 40]
