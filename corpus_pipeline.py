@@ -23,7 +23,11 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents tied by five-word shingles at similarity 0.8 or more one stays."""
+    """Of documents tied by five-word shingles at similarity 0.8 or more one stays.
+
+    Links come from SimHash fingerprints through the pivot distance table, checked on whole texts;
+    a join by shingles adds those that three bits of a fingerprint miss.
+    """
     return shingle_join.keep_one(docs.select(*COLUMNS), Workspace(spark, "pipeline-near"))
 
 

@@ -11,8 +11,10 @@ that is left has a sketch: which of its shingles' low bits occur an odd number o
 sketches differ in no more bits than the sets differ in shingles, so sizes and sketches rule
 pairs out without a loss. What is left is compared on whole texts:
 
-* in rounds, each text with one of its shingles' pivots (a few texts of a shingle, others each
-  round), if the links found so far leave the two apart. So a large group makes few pairs;
+* first the links of simhash.py: every text's fingerprint goes through its pivot distance table,
+  and texts of one fingerprint or of linked ones are compared. Most copies come together here;
+* in rounds, what three bits of a fingerprint leave apart: each text with one of its shingles'
+  pivots (a few texts of a shingle, others each round). So a large group makes few pairs;
 * at last, all pairs of a shingle that are still apart, in tiles of bounded size. A shingle
   whose texts are all of one component has none.
 
@@ -26,7 +28,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import simhash
@@ -89,19 +91,21 @@ def common_shingles(docs: DataFrame, ws: Workspace) -> np.ndarray:
 
 
 def marks(docs: DataFrame, common: np.ndarray) -> DataFrame:
-    """docs(doc_id, row, text) -> (doc_id, row, fp: digest of the set, n: its size, first: array<bigint>)."""
+    """docs(doc_id, row, text) -> (doc_id, row, fp: digest of the set, n: its size, sim: the text's fingerprint of simhash, first: array<bigint>)."""
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for at in range(0, whole.num_rows, 256):
                 b = whole.slice(at, 256)
-                each = [shingles(t) for t in b.column(2).to_pylist()]
+                texts = b.column(2).to_pylist()
+                each = [shingles(t) for t in texts]
+                sim = simhash.fold([simhash.hashes(t) for t in texts]).view(np.int64)
                 fp = np.array([xxhash.xxh64_intdigest(s.tobytes(), 42) for s in each], np.uint64).view(np.int64)
                 n = pa.array([len(s) for s in each], pa.int32())
-                yield pa.RecordBatch.from_arrays([*b.columns[:2], pa.array(fp), n, _lists([first(s, common) for s in each])], ["doc_id", "row", "fp", "n", "first"])
+                yield pa.RecordBatch.from_arrays([*b.columns[:2], pa.array(fp), n, pa.array(sim), _lists([first(s, common) for s in each])], ["doc_id", "row", "fp", "n", "sim", "first"])
 
-    return docs.select("doc_id", "row", F.col("text").cast("string")).mapInArrow(run, f"doc_id {kind}, row bigint, fp bigint, n int, first array<bigint>")
+    return docs.select("doc_id", "row", F.col("text").cast("string")).mapInArrow(run, f"doc_id {kind}, row bigint, fp bigint, n int, sim bigint, first array<bigint>")
 
 
 def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -203,6 +207,19 @@ def _alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays(b.columns[:2], ["a", "b"]).filter(pa.array(near, pa.bool_()))
 
 
+def _ordered(a: str, b: str) -> list[Column]:
+    return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
+
+
+def fingerprint_pairs(marked: DataFrame, ws: Workspace, tile: int = TILE) -> DataFrame:
+    """marked(fp, sim) -> pairs (a, b) of fps whose fingerprints are equal, or linked by simhash's pivot table, a forest of them."""
+    held = marked.select("fp", "sim").distinct()
+    rep = ws.write(held.groupBy("sim").agg(F.min("fp").alias("rep")), "sims")
+    near = simhash.links(rep.select(F.col("sim").alias("fp")), ws, tile)
+    tied = near.join(rep.select(F.col("sim").alias("a"), F.col("rep").alias("p")), "a").join(rep.select(F.col("sim").alias("b"), F.col("rep").alias("q")), "b")
+    return held.join(rep, "sim").select(*_ordered("fp", "rep")).union(tied.select(*_ordered("p", "q"))).where("a < b")
+
+
 def shared_rows(marked: DataFrame) -> DataFrame:
     """marked(fp, n, first) -> (key, fp, n) of the first shingles that several texts share."""
     rows = marked.select(F.explode("first").alias("key"), "fp", "n").repartition("key").sortWithinPartitions("key", "fp")
@@ -212,7 +229,7 @@ def shared_rows(marked: DataFrame) -> DataFrame:
 def links(docs: DataFrame, marked: DataFrame, shared: DataFrame, ws: Workspace, tile: int = TILE) -> DataFrame:
     """Edges (a, b) of fps whose components are those of all pairs at the limit.
 
-    docs(doc_id, row, text), marked(doc_id, row, fp) of marks() over them and shared of shared_rows().
+    docs(doc_id, row, text), marked(doc_id, row, fp, sim) of marks() over them and shared of shared_rows().
     """
     # One row's text for each fp that may have a partner.
     one = marked.join(shared.select("fp").distinct(), "fp", "left_semi").groupBy("fp").agg(F.min(F.struct("doc_id", "row")).alias("m"))
@@ -231,13 +248,16 @@ def links(docs: DataFrame, marked: DataFrame, shared: DataFrame, ws: Workspace,
         """(key, n: its rows) of keys with rows of two components or more."""
         return placed.groupBy("key").agg(F.count("*").alias("n"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("key", "n")
 
-    for i in range(ROUNDS):
-        rows = placed.join(open_keys().select("key"), "key", "left_semi").join(sketches, "fp")
-        rows = rows.withColumn("nth", F.xxhash64("fp", F.lit(i))).repartition("key").sortWithinPartitions("key", "nth")
-        met = rows.select("key", "fp", "n", "root", "bits", "nth").mapInArrow(_with_pivots, "fp bigint, pivot bigint, nth bigint")
-        pairs = met.groupBy("fp").agg(F.min_by("pivot", "nth").alias("pivot")).select(F.least("fp", "pivot").alias("a"), F.greatest("fp", "pivot").alias("b"))
+    for i in range(ROUNDS + 1):
+        if not i:
+            pairs = fingerprint_pairs(marked, ws, tile)
+        else:
+            rows = placed.join(open_keys().select("key"), "key", "left_semi").join(sketches, "fp")
+            rows = rows.withColumn("nth", F.xxhash64("fp", F.lit(i - 1))).repartition("key").sortWithinPartitions("key", "nth")
+            met = rows.select("key", "fp", "n", "root", "bits", "nth").mapInArrow(_with_pivots, "fp bigint, pivot bigint, nth bigint")
+            pairs = met.groupBy("fp").agg(F.min_by("pivot", "nth").alias("pivot")).select(*_ordered("fp", "pivot"))
         more = similar(pairs, f"near{i}")
-        if more.isEmpty():
+        if i and more.isEmpty():
             break
         edges = more if edges is None else edges.union(more)
         roots = components(edges, ws, small=SMALL).select(F.col("node").alias("fp"), "root")
@@ -250,8 +270,8 @@ def links(docs: DataFrame, marked: DataFrame, shared: DataFrame, ws: Workspace,
     dealt = dealt.withColumn("tile", F.least("chunk", "d") * F.col("chunks") + F.greatest("chunk", "d")).withColumn("own", F.col("chunk") == F.col("d"))
     dealt = dealt.join(sketches, "fp").select("key", "tile", "chunk", "own", "fp", "n", "root", "bits")
     last = similar(dealt.repartition("key", "tile").sortWithinPartitions("key", "tile").mapInArrow(_in_tiles, "a bigint, b bigint"), "near-last")
-    ws.drop("shared", "texts", "sketches", f"placed{i}", f"placed{i - 1}")
-    return last if edges is None else edges.union(last)
+    ws.drop("sims", "pivots", "hot", "shared", "texts", "sketches", f"placed{i}", f"placed{i - 1}")
+    return edges.union(last)
 
 
 def keep_one(docs: DataFrame, ws: Workspace) -> DataFrame:
@@ -261,7 +281,7 @@ def keep_one(docs: DataFrame, ws: Workspace) -> DataFrame:
     slim = docs.select("doc_id", content.alias("row"), "text")
     full = ws.write(marks(slim, common_shingles(slim, ws)), "marked")
     shared = ws.write(shared_rows(full), "shared")
-    marked = ws.write(full.select("doc_id", "row", "fp"), "slim")
+    marked = ws.write(full.select("doc_id", "row", "fp", "sim"), "slim")
     ws.drop("common", "marked")  # the first shingles take much disk
     kept = simhash.one_of_each(docs, marked.select("doc_id", "row", "fp"), links(slim, marked, shared, ws), ws)
     ws.drop("slim")

@@ -239,3 +239,16 @@ def test_near_copies_leave_no_disk_in_use(spark, ws):
     kept = shingle_join.keep_one(docs, ws)
     assert not {"marked", "shared", "sets", "texts", "placed0"} & set(os.listdir(ws.root.removeprefix("file://")))
     assert sorted(r.doc_id for r in kept.collect()) == [0, 10, 20, 30, 40]
+
+
+def test_near_copies_go_through_the_pivot_table(spark, ws, monkeypatch):
+    """Every text's SimHash fingerprint; what they link is compared first."""
+    rng, seen, links = random.Random(9), set(), simhash.links
+    monkeypatch.setattr(simhash, "links", lambda distinct, *a: seen.update(r.fp for r in distinct.collect()) or links(distinct, *a))
+    base = [[f"w{rng.randrange(5000)}" for _ in range(800)] for _ in range(6)]
+    texts = [" ".join(edited(rng, b, k)) for b in base for k in (0, 0, 1, 1, 1, 2)] + [None, "", "one"]
+    kept = shingle_join.keep_one(spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string"), ws)
+    assert {x % 2**64 for x in seen} == {fingerprint(t) for t in texts}
+    fps = [fingerprint(t) for t in texts[:36]]
+    assert any((fps[i] ^ fps[j]).bit_count() <= 3 and texts[i] != texts[j] for i in range(36) for j in range(i)) and ws.read("near0").count()
+    assert sorted(r.doc_id for r in kept.collect()) == [0, 6, 12, 18, 24, 30, 36, 38]
