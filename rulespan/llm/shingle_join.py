@@ -6,17 +6,22 @@ either side's n shingles, so under any common order of shingles it shares one of
 n - ceil(0.8 n) + 1: no pair is lost. The order puts shingles that a sample finds in many
 texts last, then goes by hash; the sample decides the cost, never the result.
 
-Rows of shingles that one text alone holds in its first ones are dropped at once. Each text
-that is left has a sketch: which of its shingles' low bits occur an odd number of times. Two
-sketches differ in no more bits than the sets differ in shingles, so sizes and sketches rule
-pairs out without a loss. What is left is compared on whole texts:
+Rows of shingles that one text alone holds in its first ones are dropped at once, and of
+shingles that the same texts hold one stays. Each text that is left has a sketch: which of its
+shingles' low bits occur an odd number of times, in a bit a shingle or more. Two sketches differ
+in no more bits than the sets differ in shingles, so sizes and sketches rule pairs out without a
+loss; the halves of a longer sketch fold into one of half its length. What is left is compared
+on whole texts:
 
 * first the links of simhash.py: every text's fingerprint goes through its pivot distance table,
   and texts of one fingerprint or of linked ones are compared. Most copies come together here;
 * in rounds, what three bits of a fingerprint leave apart: each text with one of its shingles'
   pivots (a few texts of a shingle, others each round). So a large group makes few pairs;
-* at last, all pairs of a shingle that are still apart, in tiles of bounded size. A shingle
-  whose texts are all of one component has none.
+* at last, what is still apart, in tiles of bounded size. First all pairs of a shingle, by
+  sketches: a tile gives a spanning forest of the pairs that these allow, whose components are
+  classes that hold every such pair. Then all pairs of a class, on whole sets: a tile gives a
+  spanning forest of the pairs at the limit. So no step makes more rows than it reads. A
+  shingle whose texts are all of one component has none.
 
 On disk lie the candidates' texts, once, and no shingle sets, which take more than the texts.
 """
@@ -38,9 +43,11 @@ from .components import SMALL, components
 WORDS = 5
 PART, WHOLE = 4, 5  # similarity 4/5
 SAMPLE = 8  # one document in so many is looked at for common shingles
-BITS = 512  # of a sketch
+BITS = 512  # of a sketch at least
 PIVOTS, ROUNDS = 8, 3
-TILE = 2048  # rows of a shingle that one task compares
+TILE = 2048  # rows of a shingle or a class that one task compares
+WEIGHT = 1 << 21  # shingles of a class that one task compares
+STEP = 1 << 22  # bytes of sketches compared at once
 COMMON, MOST = 3, 1_000_000  # documents of the sample that make a shingle common; shingles kept
 
 
@@ -78,8 +85,9 @@ def sets(docs: DataFrame, key: str) -> DataFrame:
 
 
 def sketch(s: np.ndarray) -> bytes:
-    """Which values of the shingles' low bits occur an odd number of times."""
-    return np.packbits(np.bincount((s & np.uint64(BITS - 1)).astype(np.int64), minlength=BITS).astype(np.uint8) & 1).tobytes()
+    """Which values of the shingles' low bits occur an odd number of times; a power of two of bits, one a shingle or more."""
+    bits = max(BITS, 1 << max(len(s) - 1, 0).bit_length())
+    return np.packbits(np.bincount((s & np.uint64(bits - 1)).astype(np.int64), minlength=bits).astype(np.uint8) & 1).tobytes()
 
 
 def common_shingles(docs: DataFrame, ws: Workspace) -> np.ndarray:
@@ -132,29 +140,34 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _apart(t: pa.Table) -> Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]:
     """Of pairs (a, b) of rows of t those of two components that sizes and sketches let reach the limit."""
-    root, n = t["root"].to_numpy(), t["n"].to_numpy().astype(np.int64)
-    sketches = np.frombuffer(b"".join(t["bits"].to_pylist()), np.uint64).reshape(-1, BITS // 64)
+    root, n, bits = t["root"].to_numpy(), t["n"].to_numpy().astype(np.int64), t["bits"].to_pylist()
+    size = np.array([len(x) for x in bits], np.int64)
+    place, tables = {}, {}
+    for wide in np.unique(size).tolist():
+        # Sizes at the limit differ by a quarter at most, so sketches by one halving.
+        own, longer = np.flatnonzero(size == wide), np.flatnonzero(size == 2 * wide)
+        halves = np.frombuffer(b"".join(bits[i] for i in longer), np.uint64).reshape(-1, 2, wide // 8)
+        tables[wide] = np.concatenate([np.frombuffer(b"".join(bits[i] for i in own), np.uint64).reshape(-1, wide // 8), halves[:, 0] ^ halves[:, 1]])
+        place[wide] = np.zeros(len(size), np.int64)
+        place[wide][np.concatenate([own, longer])] = np.arange(len(own) + len(longer))
 
     def apart(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         two = root[a] != root[b]
         a, b = a[two], b[two]
         sized = WHOLE * np.minimum(n[a], n[b]) >= PART * np.maximum(n[a], n[b])
         a, b = a[sized], b[sized]
-        far = np.bitwise_count(sketches[a] ^ sketches[b]).sum(axis=1, dtype=np.int64)
+        far, short = np.zeros(len(a), np.int64), np.minimum(size[a], size[b])
+        for wide, table in tables.items():
+            these = np.flatnonzero(short == wide)
+            for at in range(0, len(these), max(STEP // wide, 1)):
+                some = these[at : at + max(STEP // wide, 1)]
+                far[some] = np.bitwise_count(table[place[wide][a[some]]] ^ table[place[wide][b[some]]]).sum(axis=1, dtype=np.int64)
         near = (PART + WHOLE) * (n[a] + n[b] - far) >= 2 * PART * (n[a] + n[b])
         return a[near], b[near]
 
     return apart
 
 
-def _pairs(t: pa.Table, found: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
-    """Distinct pairs (a, b) of fps, a < b."""
-    fp = t["fp"].to_numpy()
-    both = np.concatenate([np.empty((0, 2), np.int64), *[np.stack([fp[a], fp[b]], axis=1) for a, b in found]])
-    both = np.unique(np.sort(both, axis=1), axis=0)
-    return pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], ["a", "b"])
-
-
 def _with_pivots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows sorted by (key, nth): of each the first of its key's PIVOTS that may reach the limit, as (fp, pivot, nth: the pivot's)."""
     held: pa.Table | None = None  # the pivots of the last key
@@ -176,20 +189,62 @@ def _with_pivots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             held = t.slice(int(starts[-1]), PIVOTS)
 
 
-def _in_tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _lags(t: pa.Table) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Rows sorted by (key, tile): all pairs of a tile, of one chunk only where the tile is that chunk's own."""
+    key, tile, chunk, own = (t[c].to_numpy() for c in ("key", "tile", "chunk", "own"))
+    group = np.cumsum(np.append(0, (key[1:] != key[:-1]) | (tile[1:] != tile[:-1])))
+    left = np.arange(t.num_rows)
+    for lag in range(1, t.num_rows):
+        left = left[left + lag < t.num_rows]
+        left = left[group[left] == group[left + lag]]
+        if not len(left):
+            return
+        a = left[own[left] | (chunk[left] != chunk[left + lag])]
+        yield a, a + lag
+
+
+def _tie(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
+    """The larger root goes to the smaller, then paths are shortened."""
+    while len(a):
+        a, b = label[a], label[b]
+        two = a != b
+        a, b = a[two], b[two]
+        np.minimum.at(label, np.maximum(a, b), np.minimum(a, b))
+        while (label[label] != label).any():
+            label[:] = label[label]
+
+
+def _in_tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by (key, tile): a spanning forest (a, b) of the tile's pairs that sizes and sketches let reach the limit."""
+    for t in simhash.whole_groups(batches):
+        fp, label, apart = t["fp"].to_numpy(), np.arange(t.num_rows), _apart(t)
+        for a, b in _lags(t):
+            two = label[a] != label[b]
+            _tie(label, *apart(a[two], b[two]))
+        moved = np.flatnonzero(label != np.arange(t.num_rows))
+        yield pa.RecordBatch.from_arrays([pa.array(fp[moved]), pa.array(fp[label[moved]])], ["a", "b"])
+
+
+def _at_limit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by (key, tile), with whole sets: pairs (a, b) at the limit that tie all components which the tile's pairs tie."""
     for t in simhash.whole_groups(batches):
-        key, tile, chunk, own = (t[c].to_numpy() for c in ("key", "tile", "chunk", "own"))
-        group = np.cumsum(np.append(0, (key[1:] != key[:-1]) | (tile[1:] != tile[:-1])))
-        found, left, apart = [], np.arange(t.num_rows), _apart(t)
-        for lag in range(1, t.num_rows):
-            left = left[left + lag < t.num_rows]
-            left = left[group[left] == group[left + lag]]
-            if not len(left):
-                break
-            a = left[own[left] | (chunk[left] != chunk[left + lag])]
-            found.append(apart(a, a + lag))
-        yield _pairs(t, found)
+        fp, apart, each, found = t["fp"].to_numpy(), _apart(t), t["s"].combine_chunks(), []
+        each = each.chunk(0) if isinstance(each, pa.ChunkedArray) else each
+        ends, flat = each.offsets.to_numpy(), each.flatten().to_numpy().view(np.uint64)
+        ends = ends - ends[0]
+        _, first_, same = np.unique(t["root"].to_numpy(), return_index=True, return_inverse=True)
+        label = first_[same]  # of a component: its first row
+        for a, b in _lags(t):
+            two = label[a] != label[b]
+            for i, j in zip(*(x.tolist() for x in apart(a[two], b[two]))):
+                if label[i] == label[j]:
+                    continue
+                mine, other = flat[ends[i] : ends[i + 1]], flat[ends[j] : ends[j + 1]]
+                met = int((mine[np.minimum(np.searchsorted(mine, other), len(mine) - 1)] == other).sum())
+                if (PART + WHOLE) * met >= PART * (len(mine) + len(other)):
+                    found.append(sorted((int(fp[i]), int(fp[j]))))
+                    label[label == max(label[i], label[j])] = min(label[i], label[j])
+        yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in found], pa.int64()) for k in (0, 1)], ["a", "b"])
 
 
 def _alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -226,6 +281,24 @@ def shared_rows(marked: DataFrame) -> DataFrame:
     return rows.mapInArrow(_shared, "key bigint, fp bigint, n int")
 
 
+def one_key_a_set(shared: DataFrame) -> DataFrame:
+    """shared(key, fp, n) without keys whose texts are those of another key; all pairs stay. Sets of texts are told apart by 128 bits."""
+    each = shared.groupBy("key").agg(F.count("*").alias("c"), F.bit_xor(F.xxhash64("fp")).alias("x"), F.bit_xor(F.xxhash64("fp", F.lit(1))).alias("y"))
+    return shared.join(each.groupBy("c", "x", "y").agg(F.min("key").alias("key")).select("key"), "key", "left_semi")
+
+
+def _dealt(rows: DataFrame, keys: DataFrame) -> DataFrame:
+    """rows(key, fp, ...) of keys(key, chunks), in tiles."""
+    # Chunk c of m meets every chunk once: it goes to tiles (c, d) and (d, c), named low * m + high.
+    split = rows.join(keys, "key").withColumn("chunk", F.pmod(F.xxhash64("fp"), F.col("chunks")).cast("int"))
+    dealt = split.select("*", F.explode(F.expr("sequence(0, chunks - 1)")).alias("d"))
+    return dealt.withColumn("tile", F.least("chunk", "d") * F.col("chunks") + F.greatest("chunk", "d")).withColumn("own", F.col("chunk") == F.col("d"))
+
+
+def _by_tile(dealt: DataFrame, *columns: str) -> DataFrame:
+    return dealt.select("key", "tile", "chunk", "own", "fp", "n", "root", "bits", *columns).repartition("key", "tile").sortWithinPartitions("key", "tile")
+
+
 def links(docs: DataFrame, marked: DataFrame, shared: DataFrame, ws: Workspace, tile: int = TILE) -> DataFrame:
     """Edges (a, b) of fps whose components are those of all pairs at the limit.
 
@@ -263,26 +336,31 @@ def links(docs: DataFrame, marked: DataFrame, shared: DataFrame, ws: Workspace,
         roots = components(edges, ws, small=SMALL).select(F.col("node").alias("fp"), "root")
         placed = ws.write(shared.join(roots, "fp", "left").select("key", "fp", "n", F.coalesce("root", "fp").alias("root")), f"placed{i}")
         ws.drop(f"placed{i - 1}")
-    keys = open_keys().select("key", F.when(F.col("n") > tile, F.ceil(F.col("n") / (tile // 2))).otherwise(1).cast("int").alias("chunks"))
-    # Chunk c of m meets every chunk once: it goes to tiles (c, d) and (d, c), named low * m + high.
-    split = placed.join(keys, "key").withColumn("chunk", F.pmod(F.xxhash64("fp"), F.col("chunks")).cast("int"))
-    dealt = split.select("*", F.explode(F.expr("sequence(0, chunks - 1)")).alias("d"))
-    dealt = dealt.withColumn("tile", F.least("chunk", "d") * F.col("chunks") + F.greatest("chunk", "d")).withColumn("own", F.col("chunk") == F.col("d"))
-    dealt = dealt.join(sketches, "fp").select("key", "tile", "chunk", "own", "fp", "n", "root", "bits")
-    last = similar(dealt.repartition("key", "tile").sortWithinPartitions("key", "tile").mapInArrow(_in_tiles, "a bigint, b bigint"), "near-last")
-    ws.drop("sims", "pivots", "hot", "shared", "texts", "sketches", f"placed{i}", f"placed{i - 1}")
+    half = tile // 2
+    keys = open_keys().select("key", F.when(F.col("n") > tile, F.ceil(F.col("n") / half)).otherwise(1).cast("int").alias("chunks"))
+    may = ws.write(_by_tile(_dealt(placed, keys).join(sketches, "fp")).mapInArrow(_in_tiles, "a bigint, b bigint"), "may")
+    # Every pair that sketches allow lies in one component of theirs.
+    classes = components(may, ws, small=SMALL).select(F.col("node").alias("fp"), F.col("root").alias("class"))
+    members = ws.write(placed.select("fp", "n", "root").distinct().join(classes, "fp").withColumnRenamed("class", "key"), "members")
+    size = members.groupBy("key").agg(F.count("*").alias("c"), F.sum("n").alias("weight"))
+    keys = size.select("key", F.when((F.col("c") > tile) | (F.col("weight") > WEIGHT), F.ceil(F.greatest(F.col("c") / half, F.col("weight") / (WEIGHT // 2)))).otherwise(1).cast("int").alias("chunks"))
+    whole = sets(texts.join(members.select("fp"), "fp", "left_semi"), "fp")
+    last = ws.write(_by_tile(_dealt(members, keys).join(whole, "fp"), "s").mapInArrow(_at_limit, "a bigint, b bigint"), "near-last")
+    ws.drop("sims", "pivots", "hot", "shared", "texts", "sketches", "may", "members", f"placed{i}", f"placed{i - 1}")
     return edges.union(last)
 
 
-def keep_one(docs: DataFrame, ws: Workspace) -> DataFrame:
+def keep_one(docs: DataFrame, ws: Workspace, tile: int = TILE) -> DataFrame:
     """docs, same columns: one document of each component stays, chosen as simhash.keep_one() does."""
     ws = ws.tidy()
     content = simhash.content(docs)
     slim = docs.select("doc_id", content.alias("row"), "text")
     full = ws.write(marks(slim, common_shingles(slim, ws)), "marked")
-    shared = ws.write(shared_rows(full), "shared")
+    every = ws.write(shared_rows(full), "every")
     marked = ws.write(full.select("doc_id", "row", "fp", "sim"), "slim")
     ws.drop("common", "marked")  # the first shingles take much disk
-    kept = simhash.one_of_each(docs, marked.select("doc_id", "row", "fp"), links(slim, marked, shared, ws), ws)
+    shared = ws.write(one_key_a_set(every), "shared")
+    ws.drop("every")
+    kept = simhash.one_of_each(docs, marked.select("doc_id", "row", "fp"), links(slim, marked, shared, ws, tile), ws)
     ws.drop("slim")
     return kept

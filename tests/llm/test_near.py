@@ -7,6 +7,7 @@ import time
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from hypothesis import given, settings, strategies as st
@@ -252,3 +253,64 @@ def test_near_copies_go_through_the_pivot_table(spark, ws, monkeypatch):
     fps = [fingerprint(t) for t in texts[:36]]
     assert any((fps[i] ^ fps[j]).bit_count() <= 3 and texts[i] != texts[j] for i in range(36) for j in range(i)) and ws.read("near0").count()
     assert sorted(r.doc_id for r in kept.collect()) == [0, 6, 12, 18, 24, 30, 36, 38]
+
+
+def tile_rows(sets, key=(7, 0)):
+    """Rows of one tile, each of a component of its own."""
+    n = len(sets)
+    sets = [np.sort(np.array(s, np.uint64)) for s in sets]
+    columns = {"key": pa.array([key[0]] * n, pa.int64()), "tile": pa.array([key[1]] * n, pa.int32()), "chunk": pa.array([0] * n, pa.int32()), "own": pa.array(np.ones(n, bool))}
+    columns |= {"fp": pa.array(range(n), pa.int64()), "n": pa.array([len(s) for s in sets], pa.int32()), "root": pa.array(range(n), pa.int64())}
+    columns |= {"bits": pa.array([shingle_join.sketch(s) for s in sets], pa.binary()), "s": shingle_join._lists(sets)}
+    return pa.RecordBatch.from_pydict(columns)
+
+
+def made(step, *batches):
+    return [p for b in step(iter(batches)) for p in zip(*(c.to_pylist() for c in b.columns))]
+
+
+def test_a_tile_makes_no_more_rows_than_it_reads():
+    """Many texts just under the limit of one another: a forest, not all 1,770 pairs."""
+    rng = random.Random(8)
+    core = [rng.getrandbits(64) for _ in range(140)]
+    below = [core[:133] + [rng.getrandbits(64) for _ in range(17)] for _ in range(60)]
+    assert 50 <= len(made(shingle_join._in_tiles, tile_rows(below))) <= 59
+    assert made(shingle_join._at_limit, tile_rows(below)) == []
+    above = [core + [rng.getrandbits(64) for _ in range(10)] for _ in range(60)]
+    found = made(shingle_join._at_limit, tile_rows(above))
+    assert len(found) == 59 and {x for p in found for x in p} == set(range(60))
+    halves = tile_rows(below[:30]), tile_rows(above[:30], (7, 1))  # two tiles of the same rows' numbers
+    assert len(made(shingle_join._at_limit, *halves)) == 29
+
+
+def test_sketches_grow_with_the_text():
+    """Long texts of five common shingles are ruled out by sketches; like ones of two sketch lengths are not."""
+    rng = random.Random(6)
+    draw = lambda n: [rng.getrandbits(64) for _ in range(n)]
+    plate = draw(5)
+    assert made(shingle_join._in_tiles, tile_rows([plate + draw(3000) for _ in range(12)])) == []
+    for n in (500, 1000, 2000, 4000, 16000):
+        base = draw(n)
+        pair = tile_rows([base, base[: n - n // 25] + draw(n // 10), draw(n)])
+        assert [sorted(p) for p in made(shingle_join._in_tiles, pair)] == [[0, 1]]
+        assert made(shingle_join._at_limit, pair) == [(0, 1)]
+
+
+def test_one_key_for_each_set_of_texts(spark):
+    rows = [(1, 10, 5), (1, 11, 5), (2, 10, 5), (2, 11, 5), (3, 10, 5), (3, 11, 5), (3, 12, 5), (4, 11, 5), (4, 12, 5), (-9, 11, 5), (-9, 12, 5)]
+    found = shingle_join.one_key_a_set(spark.createDataFrame(rows, "key long, fp long, n int")).collect()
+    assert sorted((r.key, r.fp) for r in found) == [(-9, 11), (-9, 12), (1, 10), (1, 11), (3, 10), (3, 11), (3, 12)]
+
+
+def test_classes_in_many_tiles_lose_no_near_copy(spark, ws, monkeypatch):
+    """Groups around the limit, settled by the tiles alone, with chunks by rows and by shingles."""
+    monkeypatch.setattr(shingle_join, "ROUNDS", 0)
+    monkeypatch.setattr(shingle_join, "WEIGHT", 4000)
+    rng, texts = random.Random(12), []
+    for n in (120, 150, 600):
+        base = [f"w{rng.randrange(5000)}" for _ in range(n)]
+        texts += [" ".join(edited(rng, base, max(1, round(n * rng.choice((0.01, 0.013, 0.018, 0.025)))))) for _ in range(16)]
+    label = alike_groups(texts)
+    assert 5 < len(set(label)) < 40
+    kept = shingle_join.keep_one(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), ws, tile=4)
+    assert sorted(r.doc_id for r in kept.collect()) == sorted(set(label))
