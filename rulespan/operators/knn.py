@@ -1,8 +1,8 @@
 """Exact nearest neighbours, and candidate search by buckets with an exact rest.
 
-One query vector: distances are a projection, the k best a distributed top-k. Many: a join
-of queries and rows is needed by definition, so the query side is dealt in blocks and each
-block's best k are kept before anything is shuffled.
+One query vector: distances are a projection, the k best a distributed top-k. Many: all
+queries meet all rows by definition, in tiles (pairs.py) that keep each query's best k before
+anything is shuffled. Where vectors do not fit tiles, a join with the queries in blocks.
 """
 
 from __future__ import annotations
@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..errors import RuleError
 from ..functions.vectors import cosine_distance, dot, euclidean, manhattan
+from . import pairs
 
 #: Query vectors that one broadcast block may hold (64 dimensions: about 5 MB).
 BLOCK = 20_000
@@ -41,8 +42,28 @@ def nearest(df: DataFrame, id_col: str, vec_col: str, query: list[float], k: int
     return out.orderBy("distance", id_col).limit(k) if k is not None else out
 
 
+def tiled(queries: DataFrame, key_cols: list[str], query_col: str, rows: DataFrame, id_col: str, vec_col: str, k: int, metric: str, others_only: bool = False) -> DataFrame | None:
+    """Columns l0.. (keys), r0 (id), d0 (distance), rank: the k nearest of every query; None where keys repeat, ids do not or vectors do not fit tiles."""
+    name = {"cosine": "cosine", "euclidean": "euclidean", "manhattan": "manhattan"}.get(metric)
+    whole = ("bigint", "int", "smallint", "tinyint")
+    if name is None or k < 1 or rows.schema[id_col].dataType.simpleString() not in whole or (others_only and queries.schema[key_cols[0]].dataType.simpleString() not in whole):
+        return None
+    left = pairs.described(pairs.Side(queries, (), tuple(key_cols), query_col), key_cols)
+    right = pairs.described(pairs.Side(rows, (), (id_col,), vec_col), [id_col])
+    if left is None or right is None or left.size != right.size or not (left.unique and right.unique) or min(left.rows, right.rows) <= pairs.FEW:
+        return None
+    if not rows.where(F.col(id_col).isNull()).isEmpty() or others_only and not queries.where(F.col(key_cols[0]).isNull()).isEmpty():
+        return None
+    found = pairs.distances(left, right, [name], k, (key_cols[0], id_col) if others_only else None, id_col)
+    best = Window.partitionBy(*[f"l{i}" for i in range(len(key_cols))]).orderBy("d0", "r0")
+    return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+
+
 def nearest_each(queries: DataFrame, rows: DataFrame, id_col: str, vec_col: str, k: int, metric: str = "cosine", others_only: bool = True) -> DataFrame:
     """(query, id, distance, rank): the k nearest rows of every query row, ties to the smaller id."""
+    found = tiled(queries, [id_col], vec_col, rows, id_col, vec_col, k, metric, others_only)
+    if found is not None:
+        return found.select(F.col("l0").alias("query"), F.col("r0").alias("id"), F.col("d0").alias("distance"), "rank")
     q = queries.select(F.col(id_col).alias("query"), F.col(vec_col).alias("qv"))
     n = q.count()
     blocks = max(1, -(-n // BLOCK))
