@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from ..errors import RuleError
 from ..functions.mathematics import arithmetic
 from ..functions.registry import Typed, call
-from ..operators import aggregates, knn
+from ..operators import aggregates, knn, pairs
 from .ast import RANKING, Agg, Arith, Atom, Call, Compare, Const, Literal, Rule, Term, Var, Wild, variables
 from .relation import Relation, as_kinds, empty
 
@@ -118,8 +118,8 @@ def comparison(c: Compare, frame: Frame) -> Column:
 
 
 class BodyCompiler:
-    def __init__(self, spark: SparkSession, resolve: Resolve, keep_wild: bool):
-        self.spark, self.resolve, self.keep_wild = spark, resolve, keep_wild
+    def __init__(self, spark: SparkSession, resolve: Resolve, keep_wild: bool, rule: Rule | None = None):
+        self.spark, self.resolve, self.keep_wild, self.rule = spark, resolve, keep_wild, rule
 
     def nearest(self, a: Atom, frame: Frame) -> Frame:
         """hnsw_nearest(index, vector, k, Id, Distance[, ef]): exact, for a constant vector or each bound one."""
@@ -130,11 +130,124 @@ class BodyCompiler:
         if isinstance(query, Const):
             df = knn.nearest(rel.df, "c0", "c1", list(query.value), k, metric=metric).toDF("c0", "c1")
             return self.atom(Atom(a.rel, a.args[3:5]), frame, Relation(df, rel.names[:2], kinds, (False, False), True))
+        found = self.nearest_of_rows(a, frame, rel)
+        if found is not None:
+            return found
         each = frame.df.select(F.col(frame.columns[query.name]).alias("q")).distinct()
         far = rel.df.crossJoin(each).select("q", "c0", knn.distance(metric, F.col("q"), F.col("c1")).alias("d"))
         best = far.withColumn("n", F.row_number().over(Window.partitionBy("q").orderBy("d", "c0"))).where(F.col("n") <= k).select(F.col("q").alias("c0"), F.col("c0").alias("c1"), F.col("d").alias("c2"))
         return self.atom(Atom(a.rel, (query, *a.args[3:5])), frame, Relation(best, ("q", "id", "d"), ("vec", *kinds), (False,) * 3, True))
 
+    def nearest_of_rows(self, a: Atom, frame: Frame, rel: Relation) -> Frame | None:
+        """hnsw_nearest where other bound variables tell the rows apart: they stand for the vector in the answer."""
+        others = [v for v in frame.columns if v != a.args[1].name]
+        if not others or rel.kinds[0] != "long" or frame.kinds[a.args[1].name] != "vec":
+            return None
+        names = [frame.columns[v] for v in others]
+        best = knn.tiled(frame.df, names, frame.columns[a.args[1].name], rel.df, "c0", "c1", int(a.args[2].value), rel.names[2])
+        if best is None:
+            return None
+        n = len(others)
+        out = best.select(*[F.col(f"l{i}").alias(f"c{i}") for i in range(n)], F.col("r0").alias(f"c{n}"), F.col("d0").alias(f"c{n + 1}"))
+        kinds = (*[frame.kinds[v] for v in others], rel.kinds[0], "double")
+        non_null = (*[v in frame.non_null for v in others], False, False)
+        return self.atom(Atom(a.rel, (*[Var(v) for v in others], *a.args[3:5])), frame, Relation(out, (*others, "id", "d"), kinds, non_null, True))
+
+    def paired(self, body: tuple[Literal, ...]) -> tuple[Frame, list[Compare]] | None:
+        """A rule's two atoms with distances between a vector of the one and a vector of the other, in tiles; and what is left to settle."""
+        atoms = [x for x in body if isinstance(x, Atom)]
+        calls = [c for c in body if isinstance(c, Compare) and c.op == "=" and isinstance(c.left, Var) and isinstance(c.right, Call) and c.right.name in pairs.KERNELS]
+        if self.rule is None or len(atoms) != 2 or any(x.negated or x.rel == NEAREST for x in atoms) or not calls:
+            return None
+        bound = [set(variables(x)) for x in atoms]
+        shared = sorted(bound[0] & bound[1])
+        vectors: list[str] = []
+        for i in (0, 1):
+            here = {v.name for c in calls for v in c.right.args if isinstance(v, Var) and v.name in bound[i] and v.name not in shared}
+            vectors += sorted(here)
+        measured = [c.left.name for c in calls]
+        if len(vectors) != 2 or vectors[0] not in bound[0] or vectors[1] not in bound[1] or len(set(measured)) < len(measured) or set(measured) & (bound[0] | bound[1]):
+            return None
+        if any(len(c.right.args) != 2 or {getattr(v, "name", None) for v in c.right.args} != set(vectors) for c in calls):
+            return None
+        rest = [c for c in body if isinstance(c, Compare) and c not in calls]
+        mine: list[list[Compare]] = [[], []]
+        again = True
+        while again:
+            again = False
+            for c in list(rest):
+                for i in (0, 1):
+                    free = [a.name for a, b in ((c.left, c.right), (c.right, c.left)) if c.op == "=" and isinstance(a, Var) and a.name not in bound[0] | bound[1] and set(variables(b)) <= bound[i]]
+                    if set(variables(c)) <= bound[i] or free and free[0] not in measured:
+                        bound[i] |= set(free[:1])
+                        mine[i].append(c)
+                        rest.remove(c)
+                        again = True
+                        break
+        head = {v for x in self.rule.head.args for v in variables(x)}
+        if self.rule.aggregates:
+            head |= {g.order for g in self.rule.aggregates if g.order}
+        need = head | {v for c in rest for v in variables(c)}
+        if need & set(vectors):
+            return None
+        frames = [BodyCompiler(self.spark, self.resolve, False).compile((atoms[i], *mine[i])) for i in (0, 1)]
+        kinds = {pairs.KERNELS[c.right.name][0] for c in calls}
+        if len(kinds) > 1 or any(frames[i].kinds[vectors[i]] not in kinds for i in (0, 1)) or any(frames[0].kinds[v] != frames[1].kinds[v] for v in shared):
+            return None
+        k = apart = tie = None
+        at = [0, 1]
+        if self.rule.aggregates:
+            g = self.rule.aggregates[0]
+            ids = [v.name for v in g.vars if v.name not in measured]
+            if g.name != "top_k" or g.descending or len(calls) > 1 or g.order != measured[0] or len(ids) != 1 or len(rest) > 1 or int(g.params[0]) < 1:
+                return None
+            keys = {x.name for x in self.rule.head.args if isinstance(x, Var)}
+            at = [0, 1] if ids[0] in bound[1] else [1, 0]
+            left, right = frames[at[0]], frames[at[1]]
+            if ids[0] in shared or right.kinds.get(ids[0]) != "long" or not keys <= set(left.columns):
+                return None
+            k, tie = int(g.params[0]), ids[0]
+            if rest:
+                c = rest.pop()
+                both = sorted((c.left, c.right), key=lambda x: isinstance(x, Var) and x.name in right.columns)
+                if c.op != "!=" or not all(isinstance(x, Var) for x in both) or not (both[0].name in left.columns and both[1].name in right.columns and left.kinds[both[0].name] == right.kinds[both[1].name] == "long"):
+                    return None
+                if both[0].name in shared or both[1].name in shared or not {both[0].name} <= keys or both[1].name != tie:
+                    return None
+                apart = (both[0].name, both[1].name)
+        sides = []
+        for i in at:
+            f = frames[i]
+            carried = [v for v in f.columns if v in need and v not in shared]
+            by = [v for v in f.columns if v in head]
+            side = pairs.described(pairs.Side(f.df, tuple(f.columns[v] for v in shared), tuple(f.columns[v] for v in carried), f.columns[vectors[i]]), [f.columns[v] for v in by])
+            if side is None or (k and not side.unique):
+                return None
+            sides.append((side, f, carried, by))
+        (left, lf, lc, lby), (right, rf, rc, rby) = sides
+        if left.size != right.size or min(left.rows, right.rows) <= pairs.FEW:
+            return None
+        for f, v in ((lf, apart and apart[0]), (rf, tie)):
+            if v and v not in f.non_null and not f.df.where(F.col(f.columns[v]).isNull()).isEmpty():
+                return None
+        apart = (lf.columns[apart[0]], rf.columns[apart[1]]) if apart else None
+        df = pairs.distances(left, right, [c.right.name for c in calls], k, apart, rf.columns[tie] if tie else None)
+        out = Frame()
+        names = [(f"k{i}", v, lf) for i, v in enumerate(shared)] + [(f"l{i}", v, lf) for i, v in enumerate(lc)] + [(f"r{i}", v, rf) for i, v in enumerate(rc)]
+        picked = []
+        for name, v, f in names:
+            out.columns[v], out.kinds[v] = out.new(), f.kinds[v]
+            if v in f.non_null:
+                out.non_null.add(v)
+            picked.append(F.col(name).alias(out.columns[v]))
+        for i, v in enumerate(measured):
+            out.columns[v], out.kinds[v] = out.new(), "double"
+            picked.append(F.col(f"d{i}").alias(out.columns[v]))
+        out.df = df.select(*picked)
+        out.exact = left.unique and right.unique
+        out.from_atoms = {*lby, *rby}
+        return out, rest
+
     def atom(self, a: Atom, frame: Frame, rel: Relation | None = None) -> Frame:
         """The atom alone: constants and repeated variables filter, wildcards go (or stay, nameless)."""
         if rel is None and a.rel == NEAREST:
@@ -228,7 +341,10 @@ class BodyCompiler:
         negative = [x for x in body if isinstance(x, Atom) and x.negated]
         todo = [x for x in body if isinstance(x, Compare)]
         frame = Frame()
-        if not positive:
+        if found := self.paired(body):
+            frame, todo = found
+            positive = []
+        elif not positive:
             frame.df = self.spark.range(1).select(F.lit(1).alias(frame.new()))
         while positive:
             at = 0
@@ -273,7 +389,7 @@ class BodyCompiler:
 def compile_rule(spark: SparkSession, rule: Rule, resolve: Resolve) -> Relation:
     """The head's rows, as a set."""
     aggs = rule.aggregates
-    frame = BodyCompiler(spark, resolve, bool(aggs)).compile(rule.body)
+    frame = BodyCompiler(spark, resolve, bool(aggs), rule).compile(rule.body)
     if not aggs:
         values = [term(x, frame) for x in rule.head.args]
         df = frame.df.select(*[v.column.alias(f"c{i}") for i, v in enumerate(values)])
