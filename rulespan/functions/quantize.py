@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .registry import takes
-from .vectors import cosine_distance, dot, euclidean, manhattan
+from .vectors import cosine_distance, dot, euclidean, manhattan, once
 
 
 def _bytes(values: Column) -> Column:
@@ -21,17 +21,22 @@ def _round(x: Column) -> Column:
 @takes("vec", "vec8", "quantize_linear")
 def quantize_linear(v: Column) -> Column:
     """[min, max] to [-128, 127]; a constant vector to zeros."""
-    low, high = F.array_min(v).cast("double"), F.array_max(v).cast("double")
-    scale = F.when(high > low, 255.0 / F.when(high > low, high - low))
-    return F.when(scale.isNull(), F.transform(v, lambda x: F.lit(0).cast("tinyint"))).otherwise(_bytes(F.transform(v, lambda x: _round((x.cast("double") - low) * scale - 128.0))))
+    def scaled(bounds: Column) -> Column:
+        low, high = bounds["low"], bounds["high"]
+        values = lambda scale: F.when(scale.isNull(), F.transform(v, lambda x: F.lit(0).cast("tinyint"))).otherwise(_bytes(F.transform(v, lambda x: _round((x.cast("double") - low) * scale - 128.0))))
+        return once(F.when(high > low, 255.0 / F.when(high > low, high - low)), values)
+
+    return once(F.struct(F.array_min(v).cast("double").alias("low"), F.array_max(v).cast("double").alias("high")), scaled)
 
 
 @takes("vec", "vec8", "quantize_symmetric")
 def quantize_symmetric(v: Column) -> Column:
     """[-m, m] to [-127, 127], m the largest magnitude; zeros stay."""
-    most = F.array_max(F.transform(v, lambda x: F.abs(x.cast("double"))))
-    scale = F.when(most > 0, 127.0 / F.when(most > 0, most))
-    return F.when(scale.isNull(), F.transform(v, lambda x: F.lit(0).cast("tinyint"))).otherwise(_bytes(F.transform(v, lambda x: _round(x.cast("double") * scale))))
+    def scaled(most: Column) -> Column:
+        values = lambda scale: F.when(scale.isNull(), F.transform(v, lambda x: F.lit(0).cast("tinyint"))).otherwise(_bytes(F.transform(v, lambda x: _round(x.cast("double") * scale))))
+        return once(F.when(most > 0, 127.0 / F.when(most > 0, most)), values)
+
+    return once(F.array_max(F.transform(v, lambda x: F.abs(x.cast("double")))), scaled)
 
 
 takes("vec8", "vec", "dequantize")(lambda q: q.cast("array<float>"))

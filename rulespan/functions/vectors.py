@@ -18,6 +18,11 @@ def total(values: Column, start: float | int = ZERO) -> Column:
     return F.aggregate(values, F.lit(start), lambda s, x: s + x)
 
 
+def once(value: Column, use) -> Column:
+    """use(value) with the value worked out once: inside a lambda over elements it would be again for each."""
+    return F.transform(F.array(value), use)[0]
+
+
 def products(a: Column, b: Column, kind: str = "double") -> Column:
     return total(F.zip_with(a, b, lambda x, y: x.cast(kind) * y.cast(kind)), 0.0 if kind == "double" else 0)
 
@@ -63,5 +68,4 @@ takes("vec num", "vec", "vec_scale")(lambda v, s: F.transform(v, lambda x: (x *
 
 @takes("vec", "vec", "normalize")
 def normalize(v: Column) -> Column:
-    norm = F.sqrt(squares(v))
-    return F.when(norm > 0, F.transform(v, lambda x: (x / norm).cast("float"))).otherwise(v)
+    return once(F.sqrt(squares(v)), lambda norm: F.when(norm > 0, F.transform(v, lambda x: (x / norm).cast("float"))).otherwise(v))
