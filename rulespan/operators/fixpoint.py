@@ -23,6 +23,7 @@ from ..plans.compiler import compile_rule
 from ..plans.relation import Relation, as_kinds, columns, unify, union
 from ..sources.scratch import Scratch
 from .local_fixpoint import small_fixpoint
+from .walk import walk
 
 
 class Known:
@@ -97,6 +98,11 @@ def fixpoint(spark: SparkSession, part: list[str], rules: list[Rule], outside: C
         found = small_fixpoint(spark, part, recursive, outside, start, mine[part[0]] if len(part) == 1 else None)
         if found is not None:
             return found
+    if len(part) == 1 and part[0] in start:
+        one = start[part[0]]
+        found = walk(spark, part[0], recursive, outside, replace(one, df=_best(one.df, best[part[0]])) if best[part[0]] else one, best[part[0]])
+        if found is not None:
+            return {part[0]: found}
     known = {h: Known(scratch, start[h]) for h in start}
     for h in start:
         df = start[h].df
