@@ -15,15 +15,18 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..errors import RuleError
-from ..functions.mathematics import arithmetic
+from ..functions.mathematics import arithmetic, number
 from ..functions.registry import Typed, call
 from ..operators import aggregates, knn, pairs
+from ..operators.running import running
 from .ast import RANKING, Agg, Arith, Atom, Call, Compare, Const, Literal, Rule, Term, Var, Wild, variables
 from .relation import Relation, as_kinds, empty
 
 Resolve = Callable[[Atom], Relation | None]
 TOLERANCE = 1e-10
 NEAREST = "hnsw_nearest"
+#: Rows of a table that goes whole to every task of an all-pairs join, and pairs a task.
+WHOLE, PAIRS = 1_000_000, 100_000_000
 
 
 @dataclass
@@ -120,6 +123,7 @@ def comparison(c: Compare, frame: Frame) -> Column:
 class BodyCompiler:
     def __init__(self, spark: SparkSession, resolve: Resolve, keep_wild: bool, rule: Rule | None = None):
         self.spark, self.resolve, self.keep_wild, self.rule = spark, resolve, keep_wild, rule
+        self.sizes: list[int] = []  # rows of the first and second atom, where they are paired without a shared variable
 
     def nearest(self, a: Atom, frame: Frame) -> Frame:
         """hnsw_nearest(index, vector, k, Id, Distance[, ef]): exact, for a constant vector or each bound one."""
@@ -291,7 +295,7 @@ class BodyCompiler:
         how = "left_semi" if semi else "inner"
         frame.fresh = other.fresh
         if on is None:
-            frame.df = frame.df.crossJoin(other.df)
+            frame.df = self.spread(frame.df, other.df)
         else:
             frame.df = frame.df.join(other.df, on, how)
         if not semi:
@@ -306,6 +310,15 @@ class BodyCompiler:
         frame.non_null |= {v for v in shared if v in other.non_null}
         return frame
 
+    def spread(self, left: DataFrame, right: DataFrame) -> DataFrame:
+        """All pairs; of two stored tables the larger is dealt out by the number of pairs, however few files it has, and meets the smaller whole."""
+        if not self.sizes or min(self.sizes) > WHOLE or self.sizes[0] * self.sizes[1] <= PAIRS:
+            return left.crossJoin(right)
+        parts = min(4000, -(-self.sizes[0] * self.sizes[1] // PAIRS))
+        if self.sizes[0] < self.sizes[1]:
+            return F.broadcast(left).crossJoin(right.repartition(parts))
+        return left.repartition(parts).crossJoin(F.broadcast(right))
+
     def settle(self, frame: Frame, todo: list[Compare]) -> None:
         """Runs every assignment and filter whose variables are bound."""
         again = True
@@ -386,10 +399,71 @@ class BodyCompiler:
         return frame
 
 
+def up_to(spark: SparkSession, rule: Rule, resolve: Resolve) -> Relation | None:
+    """h(K, .., sum<B>) <- l(K, ..), r(J, B, ..), J <= K and the like as running totals; None where the rule is something else."""
+    aggs, atoms = rule.aggregates, [x for x in rule.body if isinstance(x, Atom)]
+    if len(aggs) != 1 or aggs[0].name not in ("sum", "count") or len(atoms) != 2 or any(x.negated or x.rel == NEAREST for x in atoms):
+        return None
+    bound = [set(variables(x)) for x in atoms]
+    shared, rest = sorted(bound[0] & bound[1]), [x for x in rule.body if isinstance(x, Compare)]
+    across = [c for c in rest if not any(set(variables(c)) <= b for b in bound)]
+    if len(across) != 1 or across[0].op not in ("<", "<=", ">", ">=") or not (isinstance(across[0].left, Var) and isinstance(across[0].right, Var)):
+        return None
+    c, keys, value = across[0], [x.name for x in rule.head.args if isinstance(x, Var)], aggs[0].vars[0].name
+    at = 0 if set(keys) <= bound[0] else 1
+    here = c.left.name if c.left.name in bound[at] else c.right.name
+    there, op = (c.right.name, {"<": ">", "<=": ">=", ">": "<", ">=": "<="}[c.op]) if here == c.left.name else (c.left.name, c.op)
+    if not set(keys) <= bound[at] or not {here, *shared} <= set(keys) or here in shared or there in shared or there not in bound[1 - at] or value not in bound[1 - at] or value in shared:
+        return None
+    frames = []
+    for i in (at, 1 - at):
+        own = [x for x in rest if x is not c and set(variables(x)) <= bound[i]]
+        f = BodyCompiler(spark, resolve, True).compile((atoms[i], *own))
+        f.df = f.df if f.exact else f.df.distinct()
+        frames.append(f)
+    left, right = frames
+    v = right.typed(value)
+    if left.kinds[here] != "long" or right.kinds[there] != "long" or any(left.kinds[k] != right.kinds[k] for k in shared) or v.kind not in ("long", "double"):
+        return None
+    amount = number(v) if v.kind == "double" else v.column if value in right.non_null else F.coalesce(v.column, F.lit(0))
+    found = running(left.df, [(left.columns[k], right.columns[k]) for k in shared], left.columns[here], right.df, right.columns[there], amount, op)
+    times = left.df.groupBy(*[left.columns[k] for k in dict.fromkeys(keys)]).agg(F.count(F.lit(1)).alias("times"))
+    on = F.col(left.columns[here]) == F.col("k")
+    for i, k in enumerate(shared):
+        on = on & F.col(left.columns[k]).eqNullSafe(F.col(f"g{i}"))
+    total = F.col("times") * F.col("n" if aggs[0].name == "count" else "s")
+    df = times.join(found, on).select(*[(total if isinstance(x, Agg) else F.col(left.columns[x.name])).alias(f"c{i}") for i, x in enumerate(rule.head.args)])
+    kind = "long" if aggs[0].name == "count" else v.kind
+    shown = [(f"{aggs[0].name}_{value}", kind, True) if isinstance(x, Agg) else (x.name, left.kinds[x.name], x.name in left.non_null) for x in rule.head.args]
+    return Relation(df, *map(tuple, zip(*shown)), True)
+
+
+def crossing(rule: Rule, resolve: Resolve) -> tuple[list[Relation], bool] | None:
+    """The two stored tables that a rule pairs without a shared variable, and whether the head's columns tell their rows apart."""
+    atoms = [x for x in rule.body if isinstance(x, Atom)]
+    if rule.aggregates or len(atoms) != 2 or any(x.negated or x.rel == NEAREST for x in atoms) or set(variables(atoms[0])) & set(variables(atoms[1])):
+        return None
+    rels = [resolve(x) for x in atoms]
+    if any(r is None or r.width != len(a.args) or not r.is_set for r, a in zip(rels, atoms)):
+        return None
+    if any(word in r.df._jdf.queryExecution().analyzed().toString() for r in rels for word in ("Join", "Aggregate", "Deduplicate", "Distinct")):
+        return None
+    head = {v for x in rule.head.args if isinstance(x, Var) for v in variables(x)}
+    by = [[f"c{i}" for i, x in enumerate(a.args) if isinstance(x, Var) and x.name in head] for a in atoms]
+    return rels, all(b and r.df.groupBy(*b).count().where("count > 1").isEmpty() for r, b in zip(rels, by))
+
+
 def compile_rule(spark: SparkSession, rule: Rule, resolve: Resolve) -> Relation:
     """The head's rows, as a set."""
     aggs = rule.aggregates
-    frame = BodyCompiler(spark, resolve, bool(aggs), rule).compile(rule.body)
+    if aggs and (total := up_to(spark, rule, resolve)) is not None:
+        return total
+    body = BodyCompiler(spark, resolve, bool(aggs), rule)
+    if cross := crossing(rule, resolve):
+        body.sizes = [r.df.count() for r in cross[0]]
+    frame = body.compile(rule.body)
+    if cross and cross[1]:
+        frame.exact, frame.from_atoms = True, set()
     if not aggs:
         values = [term(x, frame) for x in rule.head.args]
         df = frame.df.select(*[v.column.alias(f"c{i}") for i, v in enumerate(values)])
